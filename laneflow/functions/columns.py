@@ -308,7 +308,8 @@ def point_segment_distance(
     vx, vy = bx - ax, by - ay
     length2 = vx * vx + vy * vy
     t = F.try_divide((px - ax) * vx + (py - ay) * vy, length2)
-    t = F.when(length2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+    # least/greatest skip NULLs, so an unknown t is kept apart.
+    t = F.when(length2 == 0, 0.0).when(t.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
     proj_x, proj_y = ax + t * vx, ay + t * vy
     return {
         "distance": F.sqrt((px - proj_x) * (px - proj_x) + (py - proj_y) * (py - proj_y)),
@@ -348,5 +349,5 @@ def segment_midpoint() -> dict[str, Column]:
 
 
 def segment_label(speed: str | Column = "speed_mean") -> Column:
-    rounded = F.round(as_column(speed), 1).cast("string")
+    rounded = F.bround(as_column(speed), 1).cast("string")
     return F.concat(F.concat_ws(" ", F.col("road"), F.col("direction")), F.lit(" - "), rounded, F.lit(" mph"))

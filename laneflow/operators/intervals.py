@@ -125,7 +125,8 @@ def epoch_active_ids(
     steps = 0 if end <= start else -(-(end - start) // step)
     first = F.greatest(F.ceil((F.col(start_col) - start) / step), F.lit(0))
     last = F.least(F.floor((F.col(end_col) - start) / step), F.lit(steps))
-    ranges = df.select(F.col(id_col).alias("id"), first.alias("a"), last.alias("b"))
+    complete = df.where(F.col(start_col).isNotNull() & F.col(end_col).isNotNull())
+    ranges = complete.select(F.col(id_col).alias("id"), first.alias("a"), last.alias("b"))
     ranges = ranges.where(F.col("a") <= F.col("b")).distinct()
     at = F.explode(F.sequence("a", "b")).alias("n")
     counts = (

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from laneflow.functions.columns import clip_log
 from laneflow.operators.ordering import POS, blocked_window, with_position
@@ -154,7 +154,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * value
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided p-value of Student's t (applied to already aggregated rows)."""
     return pd.Series([
@@ -202,7 +202,7 @@ def autocorrelation(df: DataFrame, value: str, lags: int = 60, order: str = "tim
     return sums.select(F.explode(pairs).alias("p")).select("p.lag", "p.acf")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _durbin_levinson(acf: pd.Series) -> pd.Series:
     """PACF of one short ACF array per row."""
     out = []

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from laneflow.functions import columns as C
 from laneflow.operators import filters, grid, intervals, joins, spatial, windows
-from laneflow.operators.ordering import POS
+from laneflow.operators.ordering import BLOCK, BLOCK_ROWS, POS, blocked_window
 from laneflow.session import materialise
 
 
@@ -24,21 +24,135 @@ def corridor_segments(segments: DataFrame, bbox=None, road: str | None = None) -
 
 
 def dense_features(
-    binned: DataFrame, windowed: DataFrame, segments: DataFrame, interval: str = "1h", grid_kind: str = "observed"
+    binned: DataFrame, windowed: DataFrame, segments: DataFrame, interval: str = "1h", grid_kind: str = "observed",
+    lags: tuple[int, ...] = (1, 2, 3), block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Grid, event counts, attributes, gap filling, calendar, lags and targets.
+    """Grid, event counts, gap filling and lags in one shuffle; then attributes, calendar and targets.
 
-    Counts and gap filling share one partitioning by (segment, time block).
+    ``binned`` must be cheap to read more than once (written, not recomputed).
+
+    Everything meets as rows of one table cut into ``(segment, block)``, a block
+    being ``block_rows`` grid positions plus the few before it that lags look at:
+    grid cells, known readings, event steps (+1 where an event begins to overlap,
+    -1 after it ends), and one row before and after each block holding the nearest
+    reading outside.  Sorted windows inside a block then yield counts (running sum
+    of steps), gap filling (last reading from either side) and lags.  No block holds
+    more than a few rows per position, whatever the number of events or readings of
+    a segment.
     """
-    dense = grid.densify_grid(binned, grid=grid_kind, interval=interval)
-    counted = intervals.interval_overlap_counts(dense, windowed, interval, keep_block=True)
     measures = [c for c in grid.MEASURES if c in binned.columns]
-    filled = grid.interpolate_linear(counted, measures)
-    counts = [f"evt_{c}" for c in intervals.EVENT_CATEGORIES]
-    totalled = filled.withColumn("evt_total", C.evt_total(counts))
-    lagged = windows.add_lags(totalled).drop(POS)
+    categories = [f"evt_{c}" for c in intervals.EVENT_CATEGORIES]
+    reach = max(lags)
+    spine = materialise(grid.time_spine(binned, grid_kind, interval), "spine")
+    bins = spine.agg(F.count(F.lit(1))).first()[0]
+    if bins == 0:
+        raise ValueError("no readings to build a grid from")
+    cells = _grid_cells(binned, spine, bins, reach, block_rows)
+    known = _known_rows(binned, spine, measures, bins, reach, block_rows)
+    steps = _event_steps(windowed, spine, interval, bins, reach, block_rows)
+    rows = cells.unionByName(known, allowMissingColumns=True).unionByName(steps, allowMissingColumns=True)
+
+    group = ["tmc_code", BLOCK]
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*group).orderBy(F.desc(POS), "cell").rowsBetween(*so_far)
+    up = Window.partitionBy(*group).orderBy(POS, "cell").rowsBetween(*so_far)
+    swept = rows.withColumns({f"__r_{c}": F.last(f"__k_{c}", True).over(down) for c in measures})
+    swept = swept.withColumns({
+        **{f"__l_{c}": F.last(f"__k_{c}", True).over(up) for c in measures},
+        **{c: F.coalesce(F.sum(f"__d_{c}").over(up), F.lit(0)).cast("int") for c in categories},
+    })
+
+    def filled(c: str) -> Column:
+        left, right = F.col(f"__l_{c}"), F.col(f"__r_{c}")
+        line = left.v + (right.v - left.v) * (F.col(POS) - left.p) / (right.p - left.p)
+        return F.when(left.isNull(), right.v).when(right.isNull() | (left.p == F.col(POS)), left.v).otherwise(line)
+
+    whole = swept.where("cell = 1").select(*group, POS, "time_bin", *[filled(c).alias(c) for c in measures], *categories)
+    order = Window.partitionBy(*group).orderBy(POS)
+    lagged = whole.withColumns({f"lag{k}": F.lag("travel_time_seconds", k).over(order) for k in lags})
+    lagged = lagged.where(F.floor(F.col(POS) / block_rows) == F.col(BLOCK)).drop(POS, BLOCK)
+    lagged = lagged.dropna(subset=[f"lag{k}" for k in lags]).withColumn("evt_total", C.evt_total(categories))
     described = joins.attach_segment_attributes(lagged, segments).withColumns(C.cyclic_features("time_bin"))
-    return described.withColumns({**C.per_mile(), "speed_ratio": C.speed_ratio()})
+    return described.withColumns({**C.per_mile(lags), "speed_ratio": C.speed_ratio()})
+
+
+def _grid_cells(binned: DataFrame, spine: DataFrame, bins: int, reach: int, block_rows: int) -> DataFrame:
+    """Every segment at every position, with the ``reach`` positions before each block repeated in it."""
+    start = F.col(BLOCK) * block_rows
+    inside = F.sequence(F.greatest(start - reach, _long(0)), F.least(start + block_rows, _long(bins)) - 1)
+    expanded = binned.select("tmc_code").distinct().select("tmc_code", _all_blocks(bins, block_rows).alias(BLOCK))
+    expanded = expanded.select("tmc_code", BLOCK, F.explode(inside).alias(POS))
+    return expanded.join(spine.withColumn(POS, F.col(POS).cast("bigint")), POS).withColumn("cell", F.lit(1))
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _all_blocks(bins: int, block_rows: int) -> Column:
+    return F.explode(F.sequence(_long(0), _long((bins - 1) // block_rows)))
+
+
+def _known_rows(binned: DataFrame, spine: DataFrame, measures: list[str], bins: int, reach: int, block_rows: int) -> DataFrame:
+    """Readings at their position, and the nearest readings outside each block."""
+    placed = binned.join(spine, "time_bin")
+    values = {
+        f"__k_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("p"), F.col(c).cast("double").alias("v"))) for c in measures
+    }
+    placed = placed.select("tmc_code", POS, *[e.alias(n) for n, e in values.items()])
+    p, last = F.col(POS), (bins - 1) // block_rows
+    targets = F.sequence(F.floor(p / block_rows), F.least(F.floor((p + reach) / block_rows), F.lit(last)))
+    own = placed.withColumn(BLOCK, F.explode(targets))
+    if last == 0:
+        return own.withColumn("cell", F.lit(0))
+    # Last reading of each stretch that ends where a block's repeated rows begin, first reading of each block.
+    ends = placed.groupBy("tmc_code", F.floor((p + reach) / block_rows).alias("b")).agg(*[F.max(n).alias(n) for n in values])
+    heads = placed.groupBy("tmc_code", F.floor(p / block_rows).alias("b")).agg(*[F.min(n).alias(n) for n in values])
+    blocks = placed.select("tmc_code").distinct().select("tmc_code", _all_blocks(bins, block_rows).alias("b"))
+    edge = []
+    for summary, order, at in ((ends, F.col("b"), _long(-1)), (heads, F.desc("b"), _long(bins))):
+        outside = Window.partitionBy("tmc_code").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocks.join(summary, ["tmc_code", "b"], "left")
+        edge.append(carried.select(
+            "tmc_code", at.alias(POS), *[F.last(n, True).over(outside).alias(n) for n in values], F.col("b").alias(BLOCK)
+        ))
+    return own.unionByName(edge[0]).unionByName(edge[1]).withColumn("cell", F.lit(0))
+
+
+def _event_steps(windowed: DataFrame, spine: DataFrame, interval: str, bins: int, reach: int, block_rows: int) -> DataFrame:
+    """Step changes of the event counts at grid positions, summed per segment, block and position."""
+    width = C.interval_seconds(interval)
+    numbered = spine.select(POS, C.bin_number("time_bin", width).alias("bin"))
+    # Position of the first grid bin at or after any bin number in the grid's range.
+    gaps = blocked_window(numbered, lambda w: {"__prev": F.lag("bin").over(w)}, before=1, after=0, keys=[])
+    first_at = gaps.select(F.explode(F.sequence(F.coalesce(F.col("__prev") + 1, F.col("bin")), F.col("bin"))).alias("bin"), POS)
+    lowest = spine.agg(F.min(C.bin_number("time_bin", width))).first()[0]
+
+    known = F.col("cat_event_type").isin(intervals.EVENT_CATEGORIES)
+    spans = windowed.where(F.col("near_tmc").isNotNull() & F.col("event_start").isNotNull() & F.col("event_end").isNotNull())
+    spans = spans.select(
+        F.col("near_tmc").alias("tmc_code"), F.when(known, F.col("cat_event_type")).otherwise("cat_unplanned").alias("c"),
+        C.bin_number("event_start", width).alias("f"),
+        (C.bin_number(F.timestamp_micros(F.unix_micros("event_end") - 1), width) + 1).alias("t"),
+    ).where(F.col("f") < F.col("t"))
+    spans = spans.groupBy("tmc_code", "c", "f", "t").agg(F.count(F.lit(1)).alias("n"))
+    for side, out in (("f", "p0"), ("t", "p1")):
+        at = first_at.select(F.col("bin").alias(f"__{side}"), F.col(POS).alias(out))
+        spans = spans.join(at, F.greatest(F.col(side), F.lit(lowest)) == F.col(f"__{side}"), "left").drop(f"__{side}")
+        spans = spans.withColumn(out, F.coalesce(out, F.lit(bins)))
+    # Bins between the two may all be missing from the grid.
+    spans = spans.where(F.col("p0") < F.col("p1"))
+    touched = F.sequence(
+        F.floor(F.col("p0") / block_rows), F.least(F.floor((F.col("p1") - 1 + reach) / block_rows), F.lit((bins - 1) // block_rows))
+    )
+    pieces = spans.withColumn(BLOCK, F.explode(touched))
+    begin = F.greatest(F.col("p0"), F.col(BLOCK) * block_rows - reach)
+    both = F.array(F.struct(begin.alias("p"), F.col("n").alias("d")), F.struct(F.col("p1").alias("p"), (-F.col("n")).alias("d")))
+    steps = pieces.select("tmc_code", BLOCK, "c", F.explode(both).alias("s"))
+    # Steps after the block's end never meet a cell.
+    steps = steps.where(F.col("s.p") < (F.col(BLOCK) + 1) * block_rows)
+    sums = [F.sum(F.when(F.col("c") == c, F.col("s.d"))).alias(f"__d_evt_{c}") for c in intervals.EVENT_CATEGORIES]
+    return steps.groupBy("tmc_code", BLOCK, F.col("s.p").alias(POS)).agg(*sums).withColumn("cell", F.lit(0))
 
 
 def build_feature_table(
@@ -52,13 +166,12 @@ def build_feature_table(
     road: str | None = None,
     grid_kind: str = "observed",
     event_id: str = "ID",
-    materialise_bins: bool = False,
 ) -> DataFrame:
     """End-to-end feature table.
 
     ``road`` is a regular expression for events and an exact name for segments.
-    ``materialise_bins`` writes the binned readings once to the shared folder; worth
-    it when the raw readings are far larger than the bins, which four branches read.
+    The binned readings, far smaller than the raw ones, are written once, since the
+    grid, the known values and the time spine all come from them.
     """
     placed = corridor_segments(segments, bbox, road)
     located = spatial.nearest_segment_join(corridor_events(events, bbox, road), placed, event_id)
@@ -66,5 +179,5 @@ def build_feature_table(
     kept = readings
     if start is not None:
         kept = filters.filter_keys_timerange(readings, placed.select(F.col("tmc").alias("tmc_code")), start, end)
-    binned = grid.bin_readings(kept, interval)
-    return dense_features(materialise(binned) if materialise_bins else binned, windowed, placed, interval, grid_kind)
+    binned = materialise(grid.bin_readings(kept, interval), "binned")
+    return dense_features(binned, windowed, placed, interval, grid_kind)

@@ -42,13 +42,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and cut its lineage with a reliable checkpoint.
+def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
 
-    Used where two branches of a plan would otherwise recompute an expensive
-    input.  Checkpoint files survive lost executors.
+    Used where several branches of a plan would otherwise recompute an expensive
+    input.  The table survives lost executors, and unlike a checkpointed RDD it
+    keeps column pruning, filter pushdown and the size statistics that decide
+    about broadcasts.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
