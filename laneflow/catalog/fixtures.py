@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from laneflow.functions import columns as C
 from laneflow.operators import aggregates, grid, intervals, joins
+from laneflow.operators.filters import map_category
 from laneflow.plans.feature_table import dense_features
 from laneflow.session import materialise
 
@@ -109,8 +110,6 @@ class Fixtures:
 
     @cached_property
     def windowed(self) -> DataFrame:
-        from laneflow.operators.filters import map_category
-
         return intervals.event_window_rules(map_category(self.utc_events))
 
     @cached_property
@@ -184,7 +183,8 @@ class Fixtures:
     @cached_property
     def features(self) -> DataFrame:
         """The feature table as downstream jobs find it: built, written and read back."""
-        return materialise(dense_features(self.binned, self.windowed, self.tagged_segments), "features")
+        segments = materialise(self.tagged_segments, "segments")
+        return materialise(dense_features(self.binned, self.windowed, segments), "features")
 
     @cached_property
     def impact(self) -> DataFrame:

@@ -10,7 +10,7 @@ from laneflow.schemas import POLYLINE, as_column
 
 # Representable range of nanosecond timestamps, in epoch seconds; anything
 # outside is an invalid date.
-EPOCH_LIMIT_SECONDS = 9_223_372_036.0
+EPOCH_LIMIT_SECONDS = 9_223_372_036
 _UNIT_SECONDS = {
     "s": 1, "sec": 1, "second": 1, "min": 60, "t": 60, "m": 60, "minute": 60, "h": 3600, "hour": 3600,
     "d": 86_400, "day": 86_400, "w": 604_800, "week": 604_800,
@@ -27,46 +27,52 @@ def interval_seconds(interval: str) -> int:
     return int(match.group(1) or 1) * _UNIT_SECONDS[match.group(2).lower()]
 
 
-def either(primary: Column, fallback: Column) -> Column:
-    return F.coalesce(primary, fallback)
-
-
 # --- time -----------------------------------------------------------------
 
 
-def epoch_is_millis(df: DataFrame, columns: list[str]) -> Column:
-    """One scalar struct telling, per column, whether its median exceeds 1e12.
+def epoch_is_millis(df: DataFrame, columns: list[str]) -> dict[str, bool]:
+    """Per column, whether its median exceeds 1e12; one pass, one row to the driver.
 
     The median is compared without sorting: it lies above the threshold when
     more than half of the values do, and on an exact half the two middle values
     are the largest below and the smallest above.
     """
     threshold = 1e12
-    flags = []
+    parts = []
     for name in columns:
         value = F.col(name).cast("double")
-        above = F.count_if(value > threshold)
-        total = F.count(value)
-        middle = (F.max(F.when(value <= threshold, value)) + F.min(F.when(value > threshold, value))) / 2
-        flags.append(((above * 2 > total) | ((above * 2 == total) & (total > 0) & (middle > threshold))).alias(name))
-    return df.agg(F.struct(*flags).alias("flags")).scalar()
+        parts += [
+            F.count_if(value > threshold).alias(f"above|{name}"), F.count(value).alias(f"total|{name}"),
+            F.max(F.when(value <= threshold, value)).alias(f"low|{name}"), F.min(F.when(value > threshold, value)).alias(f"high|{name}"),
+        ]
+    row = df.agg(*parts).first()
+
+    def decide(name: str) -> bool:
+        above, total = row[f"above|{name}"], row[f"total|{name}"]
+        if total and above * 2 == total:
+            return (row[f"low|{name}"] + row[f"high|{name}"]) / 2 > threshold
+        return above * 2 > total
+
+    return {name: decide(name) for name in columns}
 
 
-def epoch_to_timestamp(value: Column, is_millis: Column | bool = False) -> Column:
-    seconds = F.when(F.lit(is_millis) if isinstance(is_millis, bool) else is_millis, value.cast("double") / 1000)
-    seconds = seconds.otherwise(value.cast("double"))
-    return F.when(F.abs(seconds) <= EPOCH_LIMIT_SECONDS, F.timestamp_micros((seconds * 1_000_000).cast("bigint")))
+def epoch_to_timestamp(value: Column, is_millis: bool = False) -> Column:
+    """Epoch seconds or milliseconds as a timestamp, NULL outside the nanosecond range."""
+    unit = 1000 if is_millis else 1
+    inside = value.between(-EPOCH_LIMIT_SECONDS * unit, EPOCH_LIMIT_SECONDS * unit)
+    return F.when(inside, F.timestamp_micros((value * (1_000_000 // unit)).cast("bigint")))
 
 
 def to_utc(df: DataFrame, columns: list[str]) -> DataFrame:
     """Epoch seconds or milliseconds, text, or naive timestamps to UTC timestamps; bad values become NULL."""
     kinds = dict(df.dtypes)
     numeric = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")]
-    millis = epoch_is_millis(df, numeric) if numeric else None
+    millis = epoch_is_millis(df, numeric) if numeric else {}
     replaced = {}
     for name in columns:
         if name in numeric:
-            replaced[name] = epoch_to_timestamp(F.col(name), millis.getField(name))
+            value = F.col(name) if kinds[name] in ("float", "double") else F.col(name).cast("bigint")
+            replaced[name] = epoch_to_timestamp(value, millis[name])
         elif kinds[name] == "string":
             replaced[name] = F.try_to_timestamp(F.col(name))
         else:
@@ -108,16 +114,16 @@ def to_local_time(epoch: str | Column, hours: int = -7, out_of_range: str = "nul
     ``out_of_range='sentinel'`` maps unrepresentable values to the largest
     representable instant instead of NULL.
     """
-    seconds = as_column(epoch).cast("double")
-    valid = F.timestamp_micros(((seconds + hours * 3600) * 1_000_000).cast("bigint"))
-    local = F.when(F.abs(seconds) <= EPOCH_LIMIT_SECONDS, valid)
+    seconds = as_column(epoch)
+    inside = seconds.between(-EPOCH_LIMIT_SECONDS, EPOCH_LIMIT_SECONDS)
+    local = F.when(inside, F.timestamp_seconds(seconds + hours * 3600))
     if out_of_range == "sentinel":
         local = local.when(seconds.isNotNull(), sentinel_time(hours))
     return local
 
 
 def sentinel_time(hours: int = -7) -> Column:
-    return F.timestamp_seconds(F.lit(int(EPOCH_LIMIT_SECONDS) + hours * 3600))
+    return F.timestamp_seconds(F.lit(EPOCH_LIMIT_SECONDS + hours * 3600))
 
 
 # --- calendar -------------------------------------------------------------

@@ -54,10 +54,10 @@ def tensor_rows(
         F.map_from_entries(F.collect_list(F.struct(F.col("position"), row))).alias("rows"),
         F.sum("__bad").alias("__bad"), F.sum("__tbad").alias("__tbad"), F.count(F.lit(1)).alias("__n"),
     )
-    slots = F.sequence(F.lit(0), (size - 1).cast("int"))
+    slots = F.sequence(F.lit(0), (F.col("__size") - 1).cast("int"))
     blank = F.array(*[F.lit(0.0) for _ in features])
-    absent = size - F.col("__n")
-    return per_bin.select(
+    absent = F.col("__size") - F.col("__n")
+    return per_bin.withColumn("__size", size).select(
         time_col,
         F.transform(slots, lambda i: F.coalesce(F.try_element_at(F.col("rows"), i).x, blank)).alias("x"),
         F.transform(slots, lambda i: F.coalesce(F.try_element_at(F.col("rows"), i).y, F.lit(0.0))).alias("y"),

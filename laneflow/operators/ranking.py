@@ -23,13 +23,9 @@ def _value_counts(df: DataFrame, value: str, keys: list[str], splits: int) -> Da
     edges = df.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, probabilities, splits * 20)).alias("__edges")
     )
-    if keys:
-        sliced = counts.join(edges, keys)
-        edge_column = F.col("__edges")
-    else:
-        sliced, edge_column = counts, edges.scalar()
-    # Edges come out sorted, so the slice is the number of edges below the value.
-    sliced = sliced.withColumn("__slice", F.size(F.filter(edge_column, lambda e: e < F.col(value)))).drop("__edges")
+    sliced = counts.join(edges, keys) if keys else counts.withColumn("__edges", edges.scalar())
+    # The slice is the number of edges below the value.
+    sliced = sliced.withColumn("__slice", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
     sizes = sliced.groupBy(*keys, "__slice").agg(F.sum("__cnt").alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))

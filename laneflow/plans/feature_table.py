@@ -173,7 +173,8 @@ def build_feature_table(
     The binned readings, far smaller than the raw ones, are written once, since the
     grid, the known values and the time spine all come from them.
     """
-    placed = corridor_segments(segments, bbox, road)
+    # The dimension is read by four steps; written, its true size lets Spark decide on broadcasts.
+    placed = materialise(corridor_segments(segments, bbox, road), "segments")
     located = spatial.nearest_segment_join(corridor_events(events, bbox, road), placed, event_id)
     windowed = intervals.event_window_rules(located)
     kept = readings

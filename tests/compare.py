@@ -57,7 +57,9 @@ def differences(spark, con, name: str, sf: str) -> tuple[str, int]:
 
 
 def main() -> None:
-    from laneflow.catalog import QUERIES
+    import functools
+
+    from laneflow.catalog import QUERIES, registry
     from laneflow.session import build_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.01"
@@ -67,6 +69,8 @@ def main() -> None:
         "spark.ui.showConsoleProgress": "false",
     })
     con = connect(sf)
+    # One set of fixtures for the whole run: the feature table is built once.
+    registry.Fixtures = functools.cache(registry.Fixtures)
     bad = 0
     for name in [n for n in QUERIES if n.startswith(prefixes)]:
         begin = time.monotonic()
