@@ -13,10 +13,12 @@ from laneflow.operators import filters, grid, intervals, joins, spatial
 
 @query("j01_nearest_segment_join", f"""
     WITH windowed_source AS (SELECT * FROM utc_events), searched AS ({SEARCHED}), scale AS ({SCALE}), nearest AS ({NEAREST})
-    SELECT ID, found AS near_tmc, sqrt(d2) AS near_distance FROM nearest""", "utc_events segments", "near_distance")
+    SELECT ID, found AS near_tmc, round(sqrt(d2), 3) AS near_distance FROM nearest""", "utc_events segments")
 def j01(fx: Fixtures) -> DataFrame:
     events = filters.infer_direction(fx.utc_events.drop("near_tmc"))
-    return spatial.nearest_segment_join(events, fx.segments).select("ID", "near_tmc", "near_distance")
+    matched = spatial.nearest_segment_join(events, fx.segments)
+    # Millimetres: the projection scale comes from a mean, whose last digits depend on summation order.
+    return matched.select("ID", "near_tmc", F.round("near_distance", 3).alias("near_distance"))
 
 
 @query("j02_interval_overlap_counts", "SELECT tmc_code, time_bin, evt_cat_unplanned, evt_cat_planned FROM event_counts", "event_counts")

@@ -6,14 +6,14 @@ import itertools
 import random
 import time
 
-from pyspark.ml import Pipeline
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from laneflow.functions.fixed_values import FULL_MODEL_LABELS
-from laneflow.models.estimators import LABEL, PREDICTION, TargetModel, linear_regression, scale_features
+from laneflow.models.estimators import PREDICTION, TargetModel
 from laneflow.models.features import GROUPS
 from laneflow.operators.sampling import hash_fraction
-from laneflow.operators.stats import regression_metrics, rmse
+from laneflow.operators.stats import regression_metrics, rmse, t_two_sided_p
 
 METRICS_SCHEMA = "model string, rmse double, mae double, r2 double, fit_time double, cv_rmse_mean double, cv_rmse_std double"
 
@@ -105,20 +105,37 @@ def grouped_importance(scores: DataFrame, groups: dict[str, list[str]] = GROUPS)
 
 
 def ols_inference(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Coefficient, t and p per scaled feature by ordinary least squares, most significant first; no intercept row."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias(LABEL)).dropna()
-    # Constant columns make the normal matrix singular and have no test.
-    spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in features]).first()
-    kept = [c for c in features if spread[c]]
-    model = Pipeline(stages=[*scale_features(kept), linear_regression(solver="normal")]).fit(rows).stages[-1]
-    summary = model.summary
-    table = [
-        (f, float(c), float(t), float(p))
-        for f, c, t, p in zip(kept, model.coefficients.toArray(), summary.tValues, summary.pValues)
-    ]
-    return df.sparkSession.createDataFrame(
-        table, "feature string, coef double, t_stat double, p_value double"
-    ).orderBy("p_value", F.desc(F.abs("t_stat")), "feature")
+    """Coefficient, t and p per scaled feature by ordinary least squares, most significant first; no intercept row.
+
+    Two passes of plain sums give the centred products; only that small matrix
+    (features × features) is solved on the driver, by pseudo-inverse, so collinear
+    features get the minimum-norm answer instead of an error.  Constant columns
+    have no test and are left out.
+    """
+    columns = [*features, target]
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    first = rows.agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m|{c}") for c in columns], *[F.stddev_samp(c).alias(f"s|{c}") for c in features]
+    ).first()
+    kept = [c for c in features if first[f"s|{c}"]]
+    scaled = {c: (F.col(c) - F.lit(first[f"m|{c}"])) / F.lit(first[f"s|{c}"]) for c in kept}
+    scaled[target] = F.col(target) - F.lit(first[f"m|{target}"])
+    names = [*kept, target]
+    centred = rows.select(*[e.alias(f"__{i}") for i, e in enumerate(scaled.values())])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = centred.agg(*[F.sum(F.col(f"__{i}") * F.col(f"__{j}")).alias(f"{i}|{j}") for i, j in pairs]).first()
+    gram = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = sums[f"{i}|{j}"]
+    xtx, xty, yty = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+    inverse = np.linalg.pinv(xtx)
+    coef = inverse @ xty
+    dof = first["n"] - 1 - int(np.linalg.matrix_rank(xtx))
+    error = np.sqrt(np.maximum(np.diag(inverse), 0) * max(yty - coef @ xty, 0.0) / dof)
+    table = [(c, float(b), float(b / e) if e > 0 else None, float(dof)) for c, b, e in zip(kept, coef, error)]
+    out = df.sparkSession.createDataFrame(table, "feature string, coef double, t_stat double, dof double")
+    tested = out.withColumn("p_value", t_two_sided_p("t_stat", "dof")).drop("dof")
+    return tested.orderBy("p_value", F.desc(F.abs("t_stat")), "feature")
 
 
 def score_models_long(

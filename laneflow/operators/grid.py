@@ -90,9 +90,8 @@ def interpolate_linear(
 
     Windows run per ``(segment, block)``.  What lies beyond a block comes from one
     summary row per block: the last known value before it and the first after it.
-    A block column that is already there is used.
     """
-    blocked = df if BLOCK in df.columns else df.withColumn(BLOCK, F.floor(F.col(pos) / block_rows))
+    blocked = df.withColumn(BLOCK, F.floor(F.col(pos) / block_rows))
     group = [key, BLOCK]
 
     def known(c: str):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from laneflow.functions.columns import bin_number, ensure_utc, interval_seconds
 from laneflow.functions.fixed_values import EVENT_CATEGORIES
-from laneflow.operators.ordering import BLOCK, BLOCK_ROWS, running_sums
+from laneflow.operators.ordering import BLOCK, BLOCK_ROWS
 from laneflow.schemas import as_column
 
 
@@ -41,42 +41,41 @@ def interval_overlap_counts(
     category: str = "cat_event_type",
     categories: list[str] = EVENT_CATEGORIES,
     fallback: str = "cat_unplanned",
-    keep_block: bool = False,
 ) -> DataFrame:
     """Events overlapping each ``(segment, time_bin)`` cell: the grid plus one count per category.
 
     Overlap is strict: bin start < event end and bin end > event start.  Every
     interval becomes two step changes, +1 at its first overlapped bin and -1 after
-    its last, summed per segment and bin before the shuffle; the counts are the
-    running total along the grid.  Cost is events + cells, whatever the event
-    length, so an open-ended event needs no clamp and no explode.
+    its last; the counts are running totals along the grid.  Intervals are clamped to
+    the grid's time range and cut at block borders, so that each ``(segment, block)``
+    is summed on its own, and steps are summed per segment and bin before they meet
+    the grid.  Cost is events + cells, whatever the event length.
     """
     width = interval_seconds(interval)
-    first = bin_number(start, width)
+    number = bin_number("time_bin", width)
+    lowest, highest = grid.agg(F.min(number)).scalar(), grid.agg(F.max(number)).scalar()
     # Last bin that starts strictly before the end.
     last = bin_number(F.timestamp_micros(F.unix_micros(F.col(end)) - 1), width)
     group = F.when(F.col(category).isin(categories), F.col(category)).otherwise(fallback)
-    steps = events.where(F.col(event_key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
-    steps = steps.select(F.col(event_key).alias(grid_key), first.alias("f"), last.alias("l"), group.alias("c"))
-    steps = steps.where(F.col("f") <= F.col("l")).select(
-        grid_key, "c",
-        F.explode(F.array(
-            F.struct(F.col("f").alias("bin"), F.lit(1).alias("step")),
-            F.struct((F.col("l") + 1).alias("bin"), F.lit(-1).alias("step")),
-        )).alias("s"),
-    )
+    spans = events.where(F.col(event_key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
+    spans = spans.select(F.col(event_key).alias(grid_key), bin_number(start, width).alias("f"), last.alias("l"), group.alias("c"))
+    spans = spans.where(F.col("f") <= F.col("l")).withColumns({"f": F.greatest("f", lowest), "l": F.least("l", highest)})
+    blocks = F.explode(F.sequence(F.floor(F.col("f") / BLOCK_ROWS), F.floor(F.col("l") / BLOCK_ROWS))).alias(BLOCK)
+    pieces = spans.where(F.col("f") <= F.col("l")).select(grid_key, "c", "f", "l", blocks)
+    begin = F.greatest(F.col("f"), F.col(BLOCK) * BLOCK_ROWS)
+    both = F.array(F.struct(begin.alias("bin"), F.lit(1).alias("step")), F.struct((F.col("l") + 1).alias("bin"), F.lit(-1).alias("step")))
+    steps = pieces.select(grid_key, BLOCK, "c", F.explode(both).alias("s"))
+    # A step behind its block never meets a cell there.
+    steps = steps.where(F.col("s.bin") < (F.col(BLOCK) + 1) * BLOCK_ROWS)
     names = [f"evt_{c}" for c in categories]
-    changes = steps.groupBy(grid_key, F.col("s.bin").alias("__bin")).agg(*[
+    changes = steps.groupBy(grid_key, BLOCK, F.col("s.bin").alias("__bin")).agg(*[
         F.sum(F.when(F.col("c") == c, F.col("s.step")).otherwise(0)).alias(n) for c, n in zip(categories, names)
     ])
-    cells = grid.withColumns({
-        "__bin": bin_number("time_bin", width), "__cell": F.lit(1), **{n: F.lit(0).cast("bigint") for n in names}
-    })
-    both = cells.unionByName(changes.withColumn("__cell", F.lit(0)), allowMissingColumns=True)
-    both = both.withColumn(BLOCK, F.floor(F.col("__bin") / BLOCK_ROWS))
-    summed = running_sums(both, names, [grid_key], "__bin", then_by=["__cell"])
-    counted = summed.where("__cell = 1").drop(*names).withColumns({n: F.col(f"__run_{n}").cast("int") for n in names})
-    return counted.select(*grid.columns, *names, *([BLOCK] if keep_block else []))
+    cells = grid.withColumns({"__bin": number, "__cell": F.lit(1)}).withColumn(BLOCK, F.floor(F.col("__bin") / BLOCK_ROWS))
+    both_kinds = cells.unionByName(changes.withColumn("__cell", F.lit(0)), allowMissingColumns=True)
+    window = Window.partitionBy(grid_key, BLOCK).orderBy("__bin", "__cell").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both_kinds.withColumns({n: F.coalesce(F.sum(n).over(window), F.lit(0)).cast("int") for n in names})
+    return counted.where("__cell = 1").select(*grid.columns, *names)
 
 
 def date_spine(spark: SparkSession, start: str | Column, end: str | Column, out: str = "date") -> DataFrame:

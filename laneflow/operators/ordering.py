@@ -78,19 +78,14 @@ def prefix_by_block(summary: DataFrame, keys: list[str], sums: list[str]) -> Dat
 
 
 def running_sums(
-    df: DataFrame, sums: list[str], keys: list[str], pos: str, block_rows: int = BLOCK_ROWS, then_by: list[str] = ()
+    df: DataFrame, sums: list[str], keys: list[str], pos: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Inclusive running totals per key in ``pos`` order, as ``__run_<name>``.
-
-    A block column that is already there is used and kept, so that several
-    operators in a row share one shuffle.
-    """
-    given = BLOCK in df.columns
-    blocked = df if given else df.withColumn(BLOCK, F.floor(F.col(pos) / block_rows))
+    """Inclusive running totals per key in ``pos`` order, as ``__run_<name>``."""
+    blocked = df.withColumn(BLOCK, F.floor(F.col(pos) / block_rows))
     totals = blocked.groupBy(*keys, BLOCK).agg(*[F.sum(c).alias(c) for c in sums])
     carries = prefix_by_block(totals, keys, sums)
-    window = Window.partitionBy(*keys, BLOCK).orderBy(pos, *then_by)
+    window = Window.partitionBy(*keys, BLOCK).orderBy(pos)
     window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = blocked.join(carries, [*keys, BLOCK])
     runs = {f"__run_{c}": F.sum(c).over(window) + F.col(f"__carry_{c}") for c in sums}
-    return joined.withColumns(runs).drop(*([] if given else [BLOCK]), *[f"__carry_{c}" for c in sums])
+    return joined.withColumns(runs).drop(BLOCK, *[f"__carry_{c}" for c in sums])

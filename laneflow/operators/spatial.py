@@ -8,18 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from laneflow.functions.columns import point_segment_distance
 from laneflow.functions.fixed_values import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
+from laneflow.session import materialise
 
 DIRECTION_NAMES = {"east": "EASTBOUND", "west": "WESTBOUND", "north": "NORTHBOUND", "south": "SOUTHBOUND"}
 ANY = "any"
 
 
-def _cells(level: Column, base: float, low: Column, high: Column, margin: int) -> Column:
-    size = F.lit(base) * F.pow(F.lit(2.0), level)
-    return F.sequence(
-        F.floor(low / size).cast("bigint") - margin, F.floor(high / size).cast("bigint") + margin
-    )
-
-
 def nearest_segment_join(
     events: DataFrame,
     segments: DataFrame,
@@ -27,7 +21,7 @@ def nearest_segment_join(
     lat: str = "Latitude",
     lon: str = "Longitude",
     direction: str = "DirectionOfTravel",
-    salts: int = 4,
+    salts: int | None = None,
 ) -> DataFrame:
     """Attach the nearest segment that runs in the event's direction.
 
@@ -37,23 +31,26 @@ def nearest_segment_join(
     coordinates stay unmatched; ties go to the lowest segment code.
 
     The search is exact and never compares every event with every segment.  Cells
-    form a pyramid of doubling sizes.  Nine points along each segment mark their
-    cell and one ring around it, on every level.  A point looks up the finest level
-    whose cell is marked: some segment then lies within two cell diagonals (2.83
-    cells).  Two levels up a single cell is four such cells wide, so every segment
-    that could be nearest has its box in the point's cell or the ring around it
-    there; segments are registered in those cells and one equi-join finds them.
-    The top level covers the whole area.  Equal points are searched once, and cell
-    lookups are salted against dense cells.
+    form a pyramid of doubling sizes.  On each level a segment registers in the
+    cells along it and two rings around them, which covers every cell within one
+    cell of the segment.  A point looks up the finest level at which its cell has
+    segments, and the nearest of those gives an upper bound on its distance.  On the
+    first level whose cells are at least that bound wide, all segments that could be
+    nearer are registered in the point's cell, so one more equi-join, keeping only
+    pairs within the bound, finds the answer.  The top level covers the whole area.
+
+    Equal points are searched once; where points far outnumber segments, cell
+    lookups are salted against dense cells (``salts`` overrides the number).
     """
     located = events.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     # Driver scalars only: projection latitude, extents, and which of the four directions exist.
     point_stats = located.agg(
-        F.avg(lat).alias("lat0"), F.min(lat).alias("y0"), F.max(lat).alias("y1"), F.min(lon).alias("x0"),
+        F.count(F.lit(1)).alias("n"), F.avg(lat).alias("lat0"), F.min(lat).alias("y0"), F.max(lat).alias("y1"), F.min(lon).alias("x0"),
         F.max(lon).alias("x1"),
     ).first()
     upper = F.upper(F.col("direction"))
     seg_stats = segments.agg(
+        F.count(F.lit(1)).alias("n"),
         F.min(F.least("start_latitude", "end_latitude")).alias("y0"),
         F.max(F.greatest("start_latitude", "end_latitude")).alias("y1"),
         F.min(F.least("start_longitude", "end_longitude")).alias("x0"),
@@ -73,9 +70,11 @@ def nearest_segment_join(
     height = (max(point_stats["y1"], seg_stats["y1"]) - min(point_stats["y0"], seg_stats["y0"])) * METRES_PER_DEGREE_LAT
     span = max(width, height, 1.0)
     longest = max(seg_stats["dx"] * per_lon, seg_stats["dy"] * METRES_PER_DEGREE_LAT)
-    # Bounded cells per segment: the longest one covers at most about 5 by 5 cells.
-    base = max(longest / 4, span / 4096, 1e-3)
+    # Bounded cells per segment: the longest one passes about 16 finest cells.
+    base = max(longest / 16, span / 4096, 1e-3)
     top = max(0, math.ceil(math.log2(span / base))) + 1
+    if salts is None:
+        salts = max(1, min(16, point_stats["n"] // (1000 * seg_stats["n"])))
 
     def project(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
         columns = {}
@@ -84,67 +83,70 @@ def nearest_segment_join(
             columns[f"{name}y"] = F.col(la) * F.lit(METRES_PER_DEGREE_LAT)
         return df.withColumns(columns)
 
-    known = [d for d in DIRECTION_NAMES if seg_stats[d]]
+    level = F.col("level")
+    size = F.lit(base) * F.pow(F.lit(2.0), level)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+
+    def cell(value: Column) -> Column:
+        return F.floor(value / size).cast("bigint")
+
+    # Segments and the cells near them.
     seg = project(segments, {"a": ("start_latitude", "start_longitude"), "b": ("end_latitude", "end_longitude")})
-    seg = seg.where(F.col("ax").isNotNull() & F.col("ay").isNotNull() & F.col("bx").isNotNull() & F.col("by").isNotNull())
+    seg = seg.select("tmc", "direction", "ax", "ay", "bx", "by").dropna(subset=["ax", "ay", "bx", "by"])
+    length = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    walked = seg.select("tmc", "ax", "ay", "bx", "by", levels)
+    walked = walked.withColumn("steps", F.ceil(length * F.lit(math.sqrt(2.0)) / size) + 1)
+    walked = walked.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("steps"))))
+    walked = walked.withColumn("t", F.col("step") / F.col("steps"))
+    near = walked.select(
+        "tmc", "level", cell(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("t")).alias("sx"),
+        cell(F.col("ay") + (F.col("by") - F.col("ay")) * F.col("t")).alias("sy"),
+    ).distinct()
+    ring = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    near = near.withColumn("rx", ring).withColumn("ry", ring).select(
+        "tmc", "level", (F.col("sx") + F.col("rx")).alias("cx"), (F.col("sy") + F.col("ry")).alias("cy")
+    ).distinct()
+    known = [d for d in DIRECTION_NAMES if seg_stats[d]]
     classes = F.array_compact(F.array(
         F.lit(ANY), *[F.when(upper.contains(DIRECTION_NAMES[d]), F.lit(d)) for d in known]
     ))
-    seg = seg.select("tmc", "ax", "ay", "bx", "by", F.explode(classes).alias("cls"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
-    level = F.col("level")
-    seg_cells = seg.select("*", levels.alias("level"))
-    seg_cells = seg_cells.withColumn(
-        "cx", F.explode(_cells(level, base, F.least("ax", "bx"), F.greatest("ax", "bx"), 1))
-    ).withColumn("cy", F.explode(_cells(level, base, F.least("ay", "by"), F.greatest("ay", "by"), 1)))
+    registered = near.join(seg, "tmc").select("*", F.explode(classes).alias("cls")).drop("direction")
+    registered = materialise(registered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "segment-cells")
 
+    # Distinct points of each direction class.
     search = F.lower(F.col(direction))
     cls = F.when(search.isin(known), search).otherwise(F.lit(ANY)) if known else F.lit(ANY)
     points = located.select(F.col(lat).alias("__lat"), F.col(lon).alias("__lon"), cls.alias("cls")).distinct()
-    points = project(points, {"p": ("__lat", "__lon")})
-
-    def cell(axis: str, at: Column) -> Column:
-        return F.floor(F.col(axis) / (F.lit(base) * F.pow(F.lit(2.0), at))).cast("bigint")
-
-    point_key = ["cls", "__lat", "__lon"]
-    looked_up = points.select("*", levels.alias("level"))
-    looked_up = looked_up.withColumns({"cx": cell("px", level), "cy": cell("py", level)})
-    along = F.explode(F.sequence(F.lit(0), F.lit(8))).alias("step")
-    marks = seg.select("cls", "ax", "ay", "bx", "by", along).select(
-        "cls", (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("step") / 8).alias("mx"),
-        (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("step") / 8).alias("my"),
+    points = project(points, {"p": ("__lat", "__lon")}).withColumn(
+        "salt", F.pmod(F.xxhash64("__lat", "__lon"), F.lit(salts)).cast("int")
     )
-    marks = marks.select("*", levels.alias("level"))
-    marks = marks.select("cls", "level", cell("mx", level).alias("cx"), cell("my", level).alias("cy")).distinct()
-    ring = F.sequence(F.lit(-1), F.lit(1))
-    marks = marks.withColumn("rx", F.explode(ring)).withColumn("ry", F.explode(ring))
-    registered = marks.select(
-        "cls", "level", (F.col("cx") + F.col("rx")).alias("cx"), (F.col("cy") + F.col("ry")).alias("cy")
-    ).distinct()
-    finest = (
-        looked_up.join(registered, ["cls", "level", "cx", "cy"], "left_semi")
-        .groupBy(*point_key, "px", "py").agg(F.min("level").alias("finest"))
-    )
-    placed = finest.withColumn("level", F.least(F.col("finest") + 2, F.lit(top)))
-    # Points farther than the top ring from every segment do not exist: the top cell spans the whole area.
-    placed = placed.withColumns({
-        "cx": cell("px", level), "cy": cell("py", level),
-        "salt": F.pmod(F.xxhash64("__lat", "__lon"), F.lit(salts)).cast("int"),
-    })
-    salted = seg_cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = placed.join(salted, ["cls", "level", "cx", "cy", "salt"])
+    where = ["cls", "level", "cx", "cy", "salt"]
+    key = ["cls", "__lat", "__lon"]
+    point = [*key, "px", "py", "salt"]
+
+    def in_cells(df: DataFrame) -> DataFrame:
+        return df.withColumns({"cx": cell(F.col("px")), "cy": cell(F.col("py"))})
+
     vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     len2 = vx * vx + vy * vy
     len2 = F.when(len2 == 0, 1e-12).otherwise(len2)
     t = ((F.col("px") - F.col("ax")) * vx + (F.col("py") - F.col("ay")) * vy) / len2
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    qx, qy = F.col("ax") + t * vx, F.col("ay") + t * vy
-    dist2 = (F.col("px") - qx) * (F.col("px") - qx) + (F.col("py") - qy) * (F.col("py") - qy)
-    best = pairs.groupBy(*point_key).agg(
-        F.min(F.struct(
-            dist2.alias("dist2"), F.col("tmc"), qx.alias("x"), qy.alias("y"), t.alias("t")
-        )).alias("best")
-    )
+    qx, qy = F.col("ax") + F.col("t") * vx, F.col("ay") + F.col("t") * vy
+    dx, dy = F.col("px") - F.col("qx"), F.col("py") - F.col("qy")
+
+    def measured(df: DataFrame) -> DataFrame:
+        pairs = df.join(registered, where).withColumn("t", t)
+        return pairs.withColumns({"qx": qx, "qy": qy}).withColumn("dist2", dx * dx + dy * dy)
+
+    occupied = registered.select(*where).distinct()
+    finest = in_cells(points.select("*", levels)).join(occupied, where, "left_semi").groupBy(*point).agg(F.min("level").alias("level"))
+    bounded = measured(in_cells(finest)).groupBy(*point, "level").agg(F.min("dist2").alias("bound"))
+    bounded = materialise(bounded, "bounds")
+    needed = F.ceil(F.log2(F.greatest(F.sqrt("bound"), F.lit(1e-9)) / F.lit(base))).cast("int")
+    final = bounded.withColumn("level", F.least(F.greatest(level, needed), F.lit(top)))
+    within = measured(in_cells(final)).where(F.col("dist2") <= F.col("bound"))
+    best = within.groupBy(*key).agg(F.min(F.struct("dist2", "tmc", F.col("qx").alias("x"), F.col("qy").alias("y"), "t")).alias("best"))
     matches = best.select(
         F.col("cls").alias("__cls"), F.col("__lat").alias("__mlat"), F.col("__lon").alias("__mlon"),
         F.col("best.tmc").alias("near_tmc"), F.sqrt("best.dist2").alias("near_distance"),
