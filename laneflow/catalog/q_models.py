@@ -80,7 +80,11 @@ def m10(fx: Fixtures) -> DataFrame:
     return _one(fx, E.log1p_target("xgb_full", feature_sets()["full"], E.boosted_trees(maxIter=5)))
 
 
-@query("m11_model_grid")
+@query("m11_model_grid", """
+    WITH sets AS (SELECT * FROM (VALUES ('base', 5), ('base_lags', 8), ('full', 17), ('cyc', 12), ('cyc_lags', 15), ('evt', 7), ('evt_lags', 10)) AS s(name, n)),
+    grid AS (SELECT family || '_' || name AS model, n FROM (VALUES ('lr'), ('rf'), ('gbrt'), ('xgb')) AS f(family) CROSS JOIN sets
+             UNION ALL SELECT * FROM (VALUES ('ridge_full', 17), ('lasso_full', 17)) AS p(model, n))
+    SELECT model, CAST(n AS INTEGER) AS n_features, (SELECT count(*) FROM features) AS n_rows FROM grid""", "features")
 def m11(fx: Fixtures) -> DataFrame:
     """The 30-model grid next to the number of rows each model would train on."""
     grid = E.model_grid("all", n_rows=1)

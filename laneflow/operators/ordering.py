@@ -28,18 +28,21 @@ def with_position(
     tiebreak: list[str] | None = None,
     chunk: str = "1d",
     out: str = POS,
+    total: str | None = None,
 ) -> DataFrame:
     """Exact zero-based row position per key (or over the whole table) by time.
 
     Rows are numbered inside ``(key, time chunk)``; chunk sizes are prefix-summed
-    over the far smaller chunk table.
+    over the far smaller chunk table, which also gives the key's row count
+    (``total``) without a join on the key alone.
     """
     keys = list(keys or [])
     chunked = df.withColumn("__chunk", bin_number(order, interval_seconds(chunk)))
     group = [*keys, "__chunk"]
     sizes = chunked.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    whole = [F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = sizes.select(*group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), *whole)
     inside = Window.partitionBy(*group).orderBy(order, *(tiebreak or []))
     numbered = chunked.withColumn("__rn", F.row_number().over(inside) - 1)
     placed = numbered.join(offsets, group)

@@ -280,7 +280,7 @@ def per_segment_forecast(
     are plain sums (combined map-side), only those small sums reach Python.
     """
     exog = sorted({c for columns in configs.values() for c in columns})
-    placed = with_position(df.drop(POS), order, [key])
+    placed = with_position(df.drop(POS), order, [key], total="__n")
     y = F.col(target)
     lagged = blocked_window(
         placed,
@@ -292,8 +292,7 @@ def per_segment_forecast(
         },
         before=2 * period, after=0, keys=[key],
     )
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    rows = lagged.join(sizes, key).withColumn(
+    rows = lagged.withColumn(
         "__part", F.when(F.col(POS) >= F.col("__n") - F.floor(F.col("__n") * F.lit(test_fraction)), "test").otherwise("train")
     )
     inputs = [F.lit(1.0), F.col("__d1"), F.col("__ds"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in exog]]

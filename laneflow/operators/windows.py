@@ -73,11 +73,10 @@ def chronological_split_per_key(
     df: DataFrame, fraction: float = 0.2, key: str = KEY, order: str = TIME, out: str = "split"
 ) -> DataFrame:
     """Last ``max(1, int(n * fraction))`` rows of each segment are ``test``, the rest ``train``."""
-    placed = with_position(df.drop(POS), order, [key])
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    placed = with_position(df.drop(POS), order, [key], total="__n")
     held = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(fraction)))
     split = F.when(F.col(POS) >= F.col("__n") - held, "test").otherwise("train")
-    return placed.join(sizes, key).withColumn(out, split).drop(POS, "__n")
+    return placed.withColumn(out, split).drop(POS, "__n")
 
 
 def time_cutoff(df: DataFrame, ratio: float = 0.2, time_col: str = TIME) -> Column:
@@ -179,10 +178,9 @@ def tail_validation_split(
     df: DataFrame, fraction: float = 0.2, order: str = TIME, out: str = "part"
 ) -> DataFrame:
     """Last ``max(1, int(fraction * n))`` rows of the whole training table are ``validation``."""
-    placed = with_position(df.drop(POS), order, tiebreak=schemas.present(df, [KEY]))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    held = F.greatest(F.lit(1), F.floor(F.lit(fraction) * total))
-    return placed.withColumn(out, F.when(F.col(POS) >= total - held, "validation").otherwise("train")).drop(POS)
+    placed = with_position(df.drop(POS), order, tiebreak=schemas.present(df, [KEY]), total="__n")
+    held = F.greatest(F.lit(1), F.floor(F.lit(fraction) * F.col("__n")))
+    return placed.withColumn(out, F.when(F.col(POS) >= F.col("__n") - held, "validation").otherwise("train")).drop(POS, "__n")
 
 
 def overlap_validation_split(

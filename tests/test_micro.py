@@ -221,9 +221,11 @@ def test_two_planned_events_are_none_but_with_event(spark):
 
 @pytest.mark.parametrize("scale,unit", [(1, "s"), (1000, "ms")])
 def test_epoch_unit(spark, scale, unit):
-    df = spark.createDataFrame([(1_700_000_000 * scale,), (None,), (10**15 * scale,)], "t long")
+    good = 1_700_000_000
+    df = spark.createDataFrame([(good * scale,), (None,), (10**14 * scale,), (good * scale,), (good * scale,)], "t long")
     got = [r["t"] for r in C.to_utc(df, ["t"]).collect()]
-    assert got == [dt.datetime.fromtimestamp(1_700_000_000, dt.UTC).replace(tzinfo=None), None, None]
+    when = dt.datetime.fromtimestamp(good, dt.UTC).replace(tzinfo=None)
+    assert got == [when, None, None, when, when]
 
 
 def test_text_times(spark):
