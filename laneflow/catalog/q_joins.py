@@ -24,7 +24,7 @@ def j01(fx: Fixtures) -> DataFrame:
 @query("j02_interval_overlap_counts", "SELECT tmc_code, time_bin, evt_cat_unplanned, evt_cat_planned FROM event_counts", "event_counts")
 def j02(fx: Fixtures) -> DataFrame:
     cells = grid.densify_grid(fx.binned).select("tmc_code", "time_bin")
-    return intervals.interval_overlap_counts(cells, fx.windowed)
+    return intervals.interval_overlap_counts(cells, fx.windowed, times=fx.binned)
 
 
 @query("j02_interval_overlap_days", """

@@ -49,7 +49,7 @@ def w03(fx: Fixtures) -> DataFrame:
 def w04(fx: Fixtures) -> DataFrame:
     from laneflow.operators.intervals import interval_overlap_counts
 
-    counts = interval_overlap_counts(grid.densify_grid(fx.binned), fx.windowed)
+    counts = interval_overlap_counts(grid.densify_grid(fx.binned), fx.windowed, times=fx.binned)
     return W.buffer_mask(counts, F.col("evt_cat_planned") > 0, 3, "near_planned", block_rows=64).select("tmc_code", "time_bin", "near_planned")
 
 

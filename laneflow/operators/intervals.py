@@ -41,9 +41,12 @@ def interval_overlap_counts(
     category: str = "cat_event_type",
     categories: list[str] = EVENT_CATEGORIES,
     fallback: str = "cat_unplanned",
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Events overlapping each ``(segment, time_bin)`` cell: the grid plus one count per category.
 
+    ``times`` may be any cheaper table with the grid's first and last ``time_bin``.
+
     Overlap is strict: bin start < event end and bin end > event start.  Every
     interval becomes two step changes, +1 at its first overlapped bin and -1 after
     its last; the counts are running totals along the grid.  Intervals are clamped to
@@ -53,7 +56,8 @@ def interval_overlap_counts(
     """
     width = interval_seconds(interval)
     number = bin_number("time_bin", width)
-    lowest, highest = grid.agg(F.min(number)).scalar(), grid.agg(F.max(number)).scalar()
+    ends = grid if times is None else times
+    lowest, highest = ends.agg(F.min(number)).scalar(), ends.agg(F.max(number)).scalar()
     # Last bin that starts strictly before the end.
     last = bin_number(F.timestamp_micros(F.unix_micros(F.col(end)) - 1), width)
     group = F.when(F.col(category).isin(categories), F.col(category)).otherwise(fallback)

@@ -175,7 +175,9 @@ def build_feature_table(
     """
     # The dimension is read by four steps; written, its true size lets Spark decide on broadcasts.
     placed = materialise(corridor_segments(segments, bbox, road), "segments")
-    located = spatial.nearest_segment_join(corridor_events(events, bbox, road), placed, event_id)
+    # Filtered events are read three times by the nearest join, the raw feed only once.
+    near = materialise(corridor_events(events, bbox, road), "events")
+    located = spatial.nearest_segment_join(near, placed, event_id)
     windowed = intervals.event_window_rules(located)
     kept = readings
     if start is not None:
