@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +30,10 @@ def build_session(app: str = "laneflow", master: str | None = None, conf: dict |
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session, where driver and executors share one disk, may fall
-    back to a temporary folder.
+    Where that setting is missing, as in a plain local session, the folder lies
+    in the session's warehouse, which Spark's own tables share in the same way.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="laneflow-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
