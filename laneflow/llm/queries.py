@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import sharding
+from laneflow.llm import secrets, sharding
 from laneflow.llm.common import table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,17 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(grown, "shard", "doc_id").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
+
+
+@query
+def op3_combined_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, found by one automaton for all rules."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    kinds = [rule.kind for rule in secrets.BASE_RULES]
+    base = F.filter("secrets", lambda x: x["kind"].isin(kinds))
+    counts = [F.size(F.filter("secrets", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
