@@ -13,8 +13,10 @@ from laneflow.llm.common import small_batches
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-# One compilation per Python worker.
-_compiled = cache(compile_rules)
+@cache
+def _compiled(rules: tuple[Rule, ...]) -> Scanner:
+    """One compilation per Python worker."""
+    return compile_rules(rules)
 
 
 def _spans(scanner: Scanner, text: str | None) -> list[tuple[int, int, int]]:
