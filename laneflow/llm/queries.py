@@ -41,7 +41,9 @@ def op3_combined_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
+    def of(kinds: list[str]) -> Column:
+        return F.filter("secrets", lambda x: x["kind"].isin(kinds))
+
     kinds = [rule.kind for rule in secrets.BASE_RULES]
-    base = F.filter("secrets", lambda x: x["kind"].isin(kinds))
-    counts = [F.size(F.filter("secrets", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    base, counts = of(kinds), [F.size(of([kind])).cast("long").alias(f"n_{kind}") for kind in kinds]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
