@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import secrets, sharding
-from laneflow.llm.common import table, utf8
+from laneflow.llm import bpe, secrets, sharding
+from laneflow.llm.common import small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # None of these can be stated in SQL: they rest on checksums, tokenizers, trained models, archives or automata.
@@ -47,3 +48,15 @@ def op3_combined_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame
     kinds = [rule.kind for rule in secrets.BASE_RULES]
     base, counts = of(kinds), [F.size(of([kind])).cast("long").alias(f"n_{kind}") for kind in kinds]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+@query
+def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the ranked byte-level vocabulary and decoded again."""
+    small_batches(spark)
+    tokenizer = bpe.tokenizer_from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), tokenizer).alias("ids"))
+    return encoded.withColumn("decoded", bpe.decode(F.col("ids"), tokenizer)).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
