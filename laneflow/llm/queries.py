@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import bpe, packing, secrets, sharding
+from laneflow.llm import bpe, language, packing, secrets, sharding
 from laneflow.llm.common import small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,14 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, "text", tokenizer, end_id=1).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op5_error_correcting_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = language.train(docs.where(fold != 0), "text", "lang")
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
