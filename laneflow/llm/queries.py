@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import bpe, language, packing, secrets, sharding
+from laneflow.llm import bpe, language, packing, secrets, sharding, warc
 from laneflow.llm.common import small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def op5_error_correcting_language_id(spark: SparkSession, sf_dir: str) -> DataFr
     return language.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "ambiguous"
     )
+
+
+@query
+def op4_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in ZIP packages, read back by range."""
+    marked = warc.mark_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    packages = warc.write_packages(marked, warc.archive_folder(spark))
+    return warc.read_packages(packages, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
