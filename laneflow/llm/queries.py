@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import bpe, kdtree, language, packing, secrets, sharding, warc
+from laneflow.llm import bpe, hashing, kdtree, language, packing, secrets, sharding, warc
 from laneflow.llm.common import small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op4_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products for every 20th vector, exact, against all others."""
     return kdtree.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every 100th vector, by binary codes and reranking."""
+    return hashing.approximate_nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, k=10)
