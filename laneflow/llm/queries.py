@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import bpe, hashing, kdtree, language, packing, secrets, sharding, warc
+from laneflow.llm import bpe, hashing, jaccard, kdtree, language, packing, secrets, sharding, warc
 from laneflow.llm.common import small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op9_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors found for every 100th vector, by binary codes and reranking."""
     return hashing.approximate_nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, k=10)
+
+
+@query
+def op8_vertical_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text")
