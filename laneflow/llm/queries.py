@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import bpe, hashing, jaccard, kdtree, language, packing, secrets, sharding, warc
+from laneflow.llm import bpe, hashing, jaccard, kdtree, language, packing, secrets, sharding, suffixes, warc
 from laneflow.llm.common import small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,15 @@ def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_vertical_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents: 5-word shingles, Jaccard similarity of 0.8 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 50 bytes that a document with a smaller id holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffixes.remove_repeats(docs, "doc_id", "text")
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select(
+        "doc_id", F.length(utf8("text")).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
