@@ -525,12 +525,22 @@ def row_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
 
 
-def remove_repeats(df: DataFrame, key: str, text: str, names: tuple[str, str] = ("removed", "kept")) -> DataFrame:
+def whole_characters(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """The part of a byte range that cuts no UTF-8 character."""
+    while start < end and data[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+def remove_repeats(df: DataFrame, key: str, text: str, names: tuple[str, str] = ("removed", "kept"), characters: bool = False) -> DataFrame:
     """All columns of ``df`` with the removed byte ranges and the bytes that stay.
 
     Strings are judged on the input, matches never cross documents, overlaps
     count.  Rows with one id never remove from each other; rows without an id
-    neither remove nor lose anything.  Null and empty texts have no bytes.
+    neither remove nor lose anything.  Null and empty texts have no bytes.  With
+    ``characters`` a character of which only a part would go stays whole.
     Columns of the two names are replaced.
     """
     found = repeated_ranges(df, key, text)
@@ -541,7 +551,10 @@ def remove_repeats(df: DataFrame, key: str, text: str, names: tuple[str, str] =
         out = []
         for data, first, last in zip(batch.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
             data = data or b""
-            edges = [0, *(x for pair in zip(first or (), last or (), strict=True) for x in pair), len(data)]
+            gone = list(zip(first or (), last or (), strict=True))
+            if characters:
+                gone = [whole_characters(data, a, b) for a, b in gone]
+            edges = [0, *(x for pair in gone for x in pair), len(data)]
             out.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if first else data)
         return pa.array(out, pa.binary())
 
