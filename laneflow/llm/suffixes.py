@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from laneflow.llm.common import small_batches
+from laneflow.llm.common import fresh, small_batches
 from laneflow.llm.jaccard import _powers, mix
 
 LENGTH, ANCHOR = 50, 20
@@ -179,29 +179,28 @@ def _join48(data: bytes) -> np.ndarray:
 
 
 _SEVERAL = 0xFFFF
-_ANNOUNCED = "bucket int, hashes binary, owners binary, keys binary, ids binary"
+_ANNOUNCED = "bucket int, hashes binary, owners binary, keys binary"
 
 
 def _announce(n_buckets: int):
-    """Rows (key, id, data) to the distinct anchors of each block of rows, by bucket."""
+    """Rows (key, data) to the distinct anchors of each block of rows, by bucket."""
 
-    def flush(hashes: list, keys: list[int], ids: list[int]) -> Iterator[pa.RecordBatch]:
+    def flush(hashes: list, keys: list[int]) -> Iterator[pa.RecordBatch]:
         if not keys:
             return
         owner = np.repeat(np.arange(len(keys)), [len(h) for h in hashes])
-        flat, key, number = np.concatenate(hashes), np.array(keys, np.int64), np.array(ids, np.int64)
+        flat, key = np.concatenate(hashes), np.array(keys, np.int64)
         by = np.argsort(flat, kind="stable")
         flat, owner = flat[by], owner[by]
         begins, ends = _groups(flat)
-        of = number[owner]
-        several = np.minimum.reduceat(of, begins) != np.maximum.reduceat(of, begins)
         counts = ends - begins
+        several = counts > 1
         first = np.where(several, _SEVERAL, owner[begins])
         distinct = flat[begins]
         bucket = ((distinct >> _U(40)) * _U(n_buckets) >> _U(24)).astype(np.int64)
         edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
         rows = [(b, distinct[x:y], first[x:y]) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
-        # What several documents of this block hold needs no answer from elsewhere.
+        # What several rows of this block hold needs no answer from elsewhere.
         known = np.repeat(several, counts)
         if known.any():
             rows.append((-1 - int(key[0] % n_buckets), flat[known], owner[known]))
@@ -211,24 +210,23 @@ def _announce(n_buckets: int):
             places[o != _SEVERAL] = local
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array([b], pa.int32()), "hashes": pa.array([_split48(h)], pa.binary()), "owners": pa.array([places.tobytes()], pa.binary()),
-                "keys": pa.array([key[used].tobytes()], pa.binary()), "ids": pa.array([number[used].tobytes()], pa.binary()),
+                "keys": pa.array([key[used].tobytes()], pa.binary()),
             })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, ids, held = [], [], [], 0
+        hashes, keys, held = [], [], 0
         for batch in batches:
-            for key, number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for key, data in zip(batch.column("key").to_pylist(), batch.column("data"), strict=True):
                 found = np.unique(anchors(data.as_py())[1])
                 if not len(found):
                     continue
                 hashes.append(found)
                 keys.append(key)
-                ids.append(number)
                 held += len(found)
                 if held >= HELD or len(keys) >= 60_000:
-                    yield from flush(hashes, keys, ids)
-                    hashes, keys, ids, held = [], [], [], 0
-        yield from flush(hashes, keys, ids)
+                    yield from flush(hashes, keys)
+                    hashes, keys, held = [], [], 0
+        yield from flush(hashes, keys)
 
     return run
 
@@ -237,27 +235,22 @@ _REPLY = "key bigint, hashes binary"
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """The anchors of a bucket that lie in several documents, for each document that asked."""
-    hashes, keys, ids, known = [], [], [], []
+    """The anchors of a bucket that lie in several rows, for each row that asked."""
+    hashes, keys, known = [], [], []
     for row in group.to_pylist():
-        owner = np.frombuffer(row["owners"], "<u2").astype(np.int64)
+        owner, values = np.frombuffer(row["owners"], "<u2").astype(np.int64), np.frombuffer(row["keys"], np.int64)
         many = owner == _SEVERAL
         hashes.append(_join48(row["hashes"]))
-        for out, column in ((keys, "keys"), (ids, "ids")):
-            values = np.frombuffer(row[column], np.int64)
-            out.append(np.where(many, 0, values[np.where(many, 0, owner)]) if len(values) else np.zeros(len(owner), np.int64))
+        keys.append(np.where(many, 0, values[np.where(many, 0, owner)]) if len(values) else np.zeros(len(owner), np.int64))
         known.append(many)
-    flat, key, number, many = (np.concatenate(x) for x in (hashes, keys, ids, known))
+    flat, key, many = (np.concatenate(x) for x in (hashes, keys, known))
     if group.column("bucket")[0].as_py() >= 0:
         by = np.argsort(flat, kind="stable")
-        flat, key, number, many = flat[by], key[by], number[by], many[by]
+        flat, key, many = flat[by], key[by], many[by]
         begins, ends = _groups(flat)
-        shared = np.logical_or.reduceat(many, begins)
-        alone = ~many
-        low = np.minimum.reduceat(np.where(alone, number, _NEVER), begins)
-        high = np.maximum.reduceat(np.where(alone, number, -_NEVER), begins)
-        shared |= high > low
-        keep = np.repeat(shared, ends - begins) & alone
+        low, high = (pick.reduceat(np.where(many, other, key), begins) for pick, other in ((np.minimum, _NEVER), (np.maximum, -_NEVER)))
+        shared = np.logical_or.reduceat(many, begins) | (high > low)
+        keep = np.repeat(shared, ends - begins) & ~many
         flat, key = flat[keep], key[keep]
     by = np.argsort(key, kind="stable")
     flat, key = flat[by], key[by]
@@ -510,7 +503,7 @@ def repeated_ranges(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     total = rows.agg(F.sum(F.length("data"))).first()[0] or 0
     n_buckets = max(8, -(-total // (PER_ANCHOR * BUCKET)))
-    announced = rows.mapInArrow(_announce(n_buckets), _ANNOUNCED)
+    announced = rows.select("key", "data").mapInArrow(_announce(n_buckets), _ANNOUNCED)
     replies = announced.groupBy("bucket").applyInArrow(_meet, _REPLY).groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
     asked = rows.join(replies, "key").select("key", "id", "data", "hashes")
     contexts = asked.mapInArrow(_cut_contexts(n_buckets), _CONTEXTS)
@@ -558,9 +551,10 @@ def remove_repeats(df: DataFrame, key: str, text: str, names: tuple[str, str] =
             out.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if first else data)
         return pa.array(out, pa.binary())
 
-    joined = df.withColumn("__row", row_key(key, text)).join(found, F.col("__row") == F.col("row_key"), "left")
-    ranges = F.coalesce(F.arrays_zip("starts", "ends"), F.array().cast("array<struct<starts:bigint,ends:bigint>>"))
+    own, other, first, last = fresh(df, "__row", "__other", "__starts", "__ends")
+    found = found.toDF(other, first, last)
+    joined = df.withColumn(own, row_key(key, text)).join(found, F.col(own) == F.col(other), "left")
+    ranges = F.coalesce(F.transform(F.arrays_zip(first, last), lambda x: F.struct(x[first].alias("start"), x[last].alias("end"))), F.array().cast("array<struct<start:bigint,end:bigint>>"))
     return joined.select(
-        *kept, F.transform(ranges, lambda x: F.struct(x["starts"].alias("start"), x["ends"].alias("end"))).alias(names[0]),
-        cut(F.col(f"`{text}`").cast("binary"), F.col("starts"), F.col("ends")).alias(names[1]),
+        *kept, ranges.alias(names[0]), cut(F.col(f"`{text}`").cast("binary"), F.col(first), F.col(last)).alias(names[1]),
     )
