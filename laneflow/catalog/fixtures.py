@@ -396,4 +396,4 @@ def with_clause(names: list[str]) -> str:
 
     for name in names:
         visit(name)
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n][1].strip()})" for n in ordered) + " " if ordered else ""
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({CTES[n][1].strip()})" for n in ordered) + " " if ordered else ""

@@ -331,7 +331,7 @@ def a24(fx: Fixtures) -> DataFrame:
 @query("a24_trimmed_mean_distributed", trimmed_sql("event_type"), "impact", "trimmed_mean")
 def a24_distributed(fx: Fixtures) -> DataFrame:
     """The same by distributed selection, as it runs when one group holds most rows."""
-    return A.trimmed_mean(fx.impact, ["event_type"], "diff", max_group_rows=0)
+    return A.trimmed_mean(fx.impact, ["event_type"], "diff")
 
 
 def profile_sql(keys: str) -> str:
@@ -422,7 +422,7 @@ def a30(fx: Fixtures) -> DataFrame:
 
 @query("a30_box_by_event_type", BOX.format(by="event_type", v="diff", table="impact"), "impact", BOX_NUMBERS)
 def a30_events(fx: Fixtures) -> DataFrame:
-    return A.box_summary(fx.impact, "event_type", "diff", max_group_rows=0)
+    return A.box_summary(fx.impact, "event_type", "diff")
 
 
 @query("a31_profile_by_calendar", """

@@ -29,6 +29,17 @@ def f02(fx: Fixtures) -> DataFrame:
     return filters.filter_segments_bbox(fx.segments, BOX, "R3").select("tmc")
 
 
+@query("f02_road_only", "SELECT tmc FROM segments WHERE road = 'R3'", "segments")
+def f02_road(fx: Fixtures) -> DataFrame:
+    return filters.filter_segments_bbox(fx.segments, road="R3").select("tmc")
+
+
+@query("f02_box_only", f"""
+    SELECT tmc FROM segments WHERE start_latitude {BOX_SQL.format(lon='start_longitude')} OR end_latitude {BOX_SQL.format(lon='end_longitude')}""", "segments")
+def f02_box(fx: Fixtures) -> DataFrame:
+    return filters.filter_segments_bbox(fx.segments, BOX).select("tmc")
+
+
 @query("f03_filter_road_pattern", "SELECT ID, RoadwayName FROM road_events WHERE regexp_matches(RoadwayName, '(?i)I-10|I10')", "road_events")
 def f03(fx: Fixtures) -> DataFrame:
     return filters.filter_road_pattern(fx.road_events).select("ID", "RoadwayName")
@@ -131,10 +142,10 @@ def f14(fx: Fixtures) -> DataFrame:
     return filters.filter_direction(fx.readings, fx.segments, "W").select("tmc_code", "measurement_tstamp", "speed")
 
 
-@query("f15_filter_year_limit", "SELECT id, end_date FROM work_zones WHERE CAST(substr(end_date, 1, 4) AS INTEGER) < 2024", "work_zones")
+@query("f15_filter_year_limit", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE year(o_orderdate) < 1998")
 def f15(fx: Fixtures) -> DataFrame:
-    dated = fx.work_zones.withColumn("end_time", C.iso_text_timestamp("end_date"))
-    return filters.filter_year_limit(dated, "end_time", 2024).select("id", "end_date")
+    dated = fx.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"))
+    return filters.filter_year_limit(dated, "o_orderdate", 1998)
 
 
 @query("f16_filter_roads_project", """

@@ -34,7 +34,7 @@ JOINED_FLOW = "(SELECT f.*, s.frc FROM flow f JOIN flow_segments s ON s.segment_
 def t03(fx: Fixtures) -> DataFrame:
     classes = ["FRC2", "FRC5", "FRC6"]
     rows = fx.flow.join(fx.flow_segments, "segment_id").where(F.col("frc").isin(classes))
-    return topk.priority_sort_limit(rows, classes).select("id", "frc", "timestamp")
+    return topk.priority_sort_limit(rows, classes, local_limit=1000).select("id", "frc", "timestamp")
 
 
 @query("t03_explicit_limit", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from laneflow.functions import columns as C
 from laneflow.functions.fixed_values import MONTHS, SEASONS, SPEED_BANDS, WEEKDAYS
 from laneflow.operators.filters import INCIDENT
-from laneflow.operators.ranking import MAX_GROUP_ROWS, grouped_quantiles
+from laneflow.operators.ranking import grouped_quantiles
 from laneflow.schemas import as_column
 
 
@@ -29,21 +29,21 @@ def daily_trend(hourly: DataFrame) -> DataFrame:
 
 
 def _spread_by(
-    hourly: DataFrame, name: str, order: list[str], max_group_rows: int = MAX_GROUP_ROWS, value: str = "speed_mean"
+    hourly: DataFrame, name: str, order: list[str], value: str = "speed_mean"
 ) -> DataFrame:
     stats = hourly.groupBy(name).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    medians = grouped_quantiles(hourly, [name], value, {"median": 0.5}, max_group_rows)
+    medians = grouped_quantiles(hourly, [name], value, {"median": 0.5})
     spine = _named_spine(hourly.sparkSession, name, order)
     return spine.join(stats, name, "left").join(medians, name, "left").select("position", name, "mean", "median", "std")
 
 
-def monthly_stats(hourly: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def monthly_stats(hourly: DataFrame) -> DataFrame:
     """Mean, exact median and sample deviation per month, all twelve months in order."""
-    return _spread_by(hourly, "month_name", MONTHS, max_group_rows)
+    return _spread_by(hourly, "month_name", MONTHS)
 
 
-def seasonal_stats(hourly: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    return _spread_by(hourly, "season", SEASONS, max_group_rows)
+def seasonal_stats(hourly: DataFrame) -> DataFrame:
+    return _spread_by(hourly, "season", SEASONS)
 
 
 def _by_season(hourly: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -118,10 +118,10 @@ def profile_by_calendar(hourly: DataFrame, by: str) -> DataFrame:
     return means.orderBy(by)
 
 
-def box_summary(df: DataFrame, by: str, value: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, 1.5·IQR whisker ends (actual values), and outlier count per category."""
     rows = df.where(F.col(by).isNotNull())
-    quartiles = grouped_quantiles(rows, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_group_rows)
+    quartiles = grouped_quantiles(rows, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fenced = rows.select(by, value).join(quartiles, by)
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
@@ -346,21 +346,20 @@ def temporal_event_rate(impact: DataFrame, flag_mode: str = "exactly_one", time_
 
 def trimmed_mean(
     df: DataFrame, keys: list[str], value: str, low: float = 0.01, high: float = 0.99, out: str = "trimmed_mean",
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Mean of the values between two exact quantiles of their group (both ends included)."""
-    limits = grouped_quantiles(df, keys, value, {"__low": low, "__high": high}, max_group_rows)
+    limits = grouped_quantiles(df, keys, value, {"__low": low, "__high": high})
     kept = df.select(*keys, value).join(limits, keys)
     kept = kept.where(F.col(value).between(F.col("__low"), F.col("__high")))
     return kept.groupBy(*keys).agg(F.avg(value).alias(out))
 
 
 def extra_delay_profile(
-    impact: DataFrame, by: list[str], value: str = "diff", planned: str = "plnd_evt", max_group_rows: int = MAX_GROUP_ROWS
+    impact: DataFrame, by: list[str], value: str = "diff", planned: str = "plnd_evt"
 ) -> DataFrame:
     """Trimmed mean delay with and without planned events by hour (or weekday and hour), and the difference."""
     marked = impact.withColumn("__with", F.coalesce(F.col(planned) > 0, F.lit(False)))
-    means = trimmed_mean(marked, [*by, "__with"], value, out="m", max_group_rows=max_group_rows)
+    means = trimmed_mean(marked, [*by, "__with"], value, out="m")
     wide = means.groupBy(*by).agg(
         F.coalesce(F.max(F.when(~F.col("__with"), F.col("m"))), F.lit(0.0)).alias("no_event"),
         F.coalesce(F.max(F.when(F.col("__with"), F.col("m"))), F.lit(0.0)).alias("with_event"),

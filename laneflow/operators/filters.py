@@ -20,11 +20,13 @@ def filter_bbox(df: DataFrame, bbox, lat: str = "Latitude", lon: str = "Longitud
     return df.where(inside_bbox(F.col(lat), F.col(lon), bbox))
 
 
-def filter_segments_bbox(df: DataFrame, bbox, road: str) -> DataFrame:
-    """Either endpoint inside the box, and exactly this road."""
-    start = inside_bbox(F.col("start_latitude"), F.col("start_longitude"), bbox)
-    end = inside_bbox(F.col("end_latitude"), F.col("end_longitude"), bbox)
-    return df.where((start | end) & (F.col("road") == road))
+def filter_segments_bbox(df: DataFrame, bbox=None, road: str | None = None) -> DataFrame:
+    """Either endpoint inside the box, and exactly this road; a condition that is not given does not apply."""
+    if bbox:
+        start = inside_bbox(F.col("start_latitude"), F.col("start_longitude"), bbox)
+        end = inside_bbox(F.col("end_latitude"), F.col("end_longitude"), bbox)
+        df = df.where(start | end)
+    return df.where(F.col("road") == road) if road else df
 
 
 def filter_road_pattern(df: DataFrame, pattern: str = r"I-10|I10", column: str = "RoadwayName") -> DataFrame:
@@ -33,10 +35,14 @@ def filter_road_pattern(df: DataFrame, pattern: str = r"I-10|I10", column: str =
 
 
 def filter_keys_timerange(
-    df: DataFrame, keys: DataFrame, start, end, key: str = "tmc_code", ts: str = "measurement_tstamp"
+    df: DataFrame, keys: DataFrame, start=None, end=None, key: str = "tmc_code", ts: str = "measurement_tstamp"
 ) -> DataFrame:
-    """Rows whose key is in ``keys`` and whose time lies in the closed range."""
-    inside = df.where(F.col(ts).between(F.lit(start), F.lit(end)))
+    """Rows whose key is in ``keys`` and whose time lies in the closed range, open on a side that is not given."""
+    inside = df
+    if start is not None:
+        inside = inside.where(F.col(ts) >= F.lit(start))
+    if end is not None:
+        inside = inside.where(F.col(ts) <= F.lit(end))
     return inside.join(keys.select(key), key, "left_semi")
 
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 SPLITS = 256
-# Largest group handed to the built-in exact percentile, whose state holds one
-# counter per distinct value of the group.
-MAX_GROUP_ROWS = 5_000_000
 
 
 def _value_counts(df: DataFrame, value: str, keys: list[str], splits: int) -> DataFrame:
@@ -70,21 +67,10 @@ def distributed_quantiles(
     return picked.select(*keys, *lines)
 
 
-def grouped_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probabilities: dict[str, float],
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, by the built-in or by distributed selection.
-
-    The size of the largest group decides: one cheap count (map-side combined)
-    is run first and only its maximum reaches the driver.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > max_group_rows:
-        return distributed_quantiles(df, keys, value, probabilities)
-    exprs: list[Column] = [F.percentile(value, p).alias(name) for name, p in probabilities.items()]
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*exprs)
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, NULL keys included, whatever the size of a group."""
+    if not keys:
+        return distributed_quantiles(df, [], value, probabilities)
+    # As fields of a struct, NULL keys are equal to each other in joins.
+    packed = df.select(F.struct(*keys).alias("__key"), F.col(value).alias("__value"))
+    return distributed_quantiles(packed, ["__key"], "__value", probabilities).select("__key.*", *probabilities)

@@ -19,7 +19,7 @@ def corridor_events(events: DataFrame, bbox=None, road_pattern: str | None = Non
 
 def corridor_segments(segments: DataFrame, bbox=None, road: str | None = None) -> DataFrame:
     """Segments of the corridor, newest version each, with manual tags."""
-    kept = filters.filter_segments_bbox(segments, bbox, road) if bbox else segments
+    kept = filters.filter_segments_bbox(segments, bbox, road)
     return joins.add_manual_tags(windows.latest_per_key(kept, "tmc", "active_start_date"))
 
 
@@ -179,8 +179,6 @@ def build_feature_table(
     near = materialise(corridor_events(events, bbox, road), "events")
     located = spatial.nearest_segment_join(near, placed, event_id)
     windowed = intervals.event_window_rules(located)
-    kept = readings
-    if start is not None:
-        kept = filters.filter_keys_timerange(readings, placed.select(F.col("tmc").alias("tmc_code")), start, end)
+    kept = filters.filter_keys_timerange(readings, placed.select(F.col("tmc").alias("tmc_code")), start, end)
     binned = materialise(grid.bin_readings(kept, interval), "binned")
     return dense_features(binned, windowed, placed, interval, grid_kind)

@@ -43,9 +43,7 @@ def read_segments(
         rows = schemas.with_optional_columns(raw.select(*typed), wanted)
     else:
         rows = _scan(spark, path, fmt).select(*wanted.fieldNames())
-    if bbox:
-        rows = filters.filter_segments_bbox(rows, bbox, road)
-    return latest_per_key(rows, "tmc", "active_start_date")
+    return latest_per_key(filters.filter_segments_bbox(rows, bbox, road), "tmc", "active_start_date")
 
 
 def read_readings(

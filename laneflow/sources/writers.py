@@ -13,12 +13,11 @@ from laneflow.schemas import FEATURE_KEYS
 def write_feature_table(df: DataFrame, path: str) -> DataFrame:
     """Write by date and report rows, columns and distinct keys.
 
-    Rows are spread by date and a hash of the segment, so a date is written by
-    several tasks instead of one, without a small file per task and date.
+    Rows are gathered by date, and Spark splits large dates over as many tasks as
+    their size asks for and joins small ones.
     """
     dated = df.withColumn("date", F.to_date("time_bin"))
-    spread = dated.repartition("date", F.pmod(F.xxhash64("tmc_code"), F.lit(8)))
-    spread.write.mode("overwrite").partitionBy("date").parquet(path)
+    dated.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(path)
     written = df.sparkSession.read.parquet(path)
     pairs = written.select(*FEATURE_KEYS).distinct().agg(F.count(F.lit(1))).scalar()
     return written.agg(
@@ -97,7 +96,7 @@ def write_training_snapshot(df: DataFrame, features: list[str], target: str, pat
     return df.sparkSession.read.parquet(path)
 
 
-def table_profile(df: DataFrame, exact_rows: int | None = None) -> DataFrame:
+def table_profile(df: DataFrame) -> DataFrame:
     """Per column: rows, NULLs and their share; for numbers also mean, deviation, range and quantiles.
 
     Counts and moments of all columns take one pass; quantiles are exact.
@@ -127,10 +126,9 @@ def table_profile(df: DataFrame, exact_rows: int | None = None) -> DataFrame:
     ]
     profile = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     marks = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    limits = {} if exact_rows is None else {"max_group_rows": exact_rows}
-    quantiles = None
-    for c in numeric:
-        part = grouped_quantiles(df.select(F.col(c).cast("double").alias(c)), [], c, marks, **limits)
-        part = part.withColumn("column", F.lit(c))
-        quantiles = part if quantiles is None else quantiles.unionByName(part)
-    return profile if quantiles is None else profile.join(quantiles, "column", "left")
+    if not numeric:
+        return profile
+    # All numeric columns as (column, value) rows: one plan for the quantiles of all of them.
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numeric]
+    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    return profile.join(grouped_quantiles(long, ["column"], "value", marks), "column", "left")

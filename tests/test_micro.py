@@ -290,6 +290,10 @@ def test_schema_helpers(spark):
 def test_fixed_tables():
     assert set(PLANNED_CLASSES.values()) == set(EVENT_CATEGORIES) and IMPACT_CLASSES["patching"] == "cat_closure"
     assert len(SEGMENT_TAG_ROWS) == 50 and [len(SEGMENT_ORDER[d]) for d in ("WB", "EB")] == [25, 25]
+    # Sums of every column by direction, and single rows that are easy to get wrong.
+    sums = [tuple(sum(row[i] for row in rows) for i in (1, 2, 3)) for rows in (SEGMENT_TAG_ROWS[:25], SEGMENT_TAG_ROWS[25:])]
+    assert sums == [(12, 13, 9), (15, 12, 7)]
+    assert {row[0]: row[1:] for row in SEGMENT_TAG_ROWS}["115-04183"] == (0, 0, 1)
 
 
 def test_chain_needs_two_nodes(spark):
@@ -300,6 +304,6 @@ def test_chain_needs_two_nodes(spark):
 
 def test_priority_limit(spark):
     df = spark.createDataFrame([(i, "FRC5" if i % 2 else None, i) for i in range(1500)], "id int, frc string, timestamp int")
-    assert topk.priority_sort_limit(df, ["FRC5"]).count() == 1000
+    assert topk.priority_sort_limit(df, ["FRC5"], local_limit=1000).count() == 1000 and topk.priority_sort_limit(df, ["FRC5"]).count() == 1500
     assert topk.priority_sort_limit(df, ["FRC0"]).count() == 1500
     assert topk.priority_sort_limit(df, ["FRC0"], 5).first()["id"] == 1499

@@ -9,7 +9,7 @@ from laneflow.catalog import ORACLES, QUERIES
 
 SF = "sf0.001"
 pytestmark = pytest.mark.skipif(not glob.glob(f"{compare.TESTDATA}/{SF}/*.parquet"), reason="no test tables")
-MAY_BE_EMPTY = {"f04_filter_keys_timerange", "f15_filter_year_limit", "a09_group_speed_summary"}
+MAY_BE_EMPTY = {"f04_filter_keys_timerange", "a09_group_speed_summary"}
 
 
 @pytest.fixture(scope="module")

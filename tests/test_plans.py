@@ -126,10 +126,38 @@ def test_metric_aliases(spark, tmp_path, columns):
     assert readers.read_metrics(spark, str(tmp_path / "m")).collect() == [("lr_full", 2.5)]
 
 
-def test_profile_with_distributed_quantiles(binned):
-    fast, slow = writers.table_profile(binned), writers.table_profile(binned, exact_rows=0)
-    key = lambda df: sorted((r["column"], r["n_null"], None if r["p95"] is None else round(r["p95"], 9), None if r["p50"] is None else round(r["p50"], 9)) for r in df.collect())
-    assert key(fast) == key(slow)
+def test_profile_quantiles_are_exact(binned):
+    numbers = [f.name for f in binned.schema.fields if f.dataType.typeName() in ("double", "integer", "long", "bigint")]
+    profile = {r["column"]: r for r in writers.table_profile(binned).collect()}
+    for c in numbers:
+        exact = binned.select(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.5), F.lit(0.95))).alias("q")).first()["q"]
+        got = profile[c]
+        assert (got["p50"], got["p95"]) == (pytest.approx(exact[0]), pytest.approx(exact[1])) if exact else got["p50"] is None
+
+
+def test_quantiles_of_a_null_key(spark):
+    from laneflow.operators.ranking import grouped_quantiles
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None), ("b", None)], "k string, v double")
+    assert {r["k"]: r["m"] for r in grouped_quantiles(df, ["k"], "v", {"m": 0.5}).collect()} == {None: 2.0, "a": 5.0}
+
+
+def test_corridor_without_a_time_range(spark):
+    """Box and road alone keep other segments out of the feature table, in every combination of conditions."""
+    from laneflow.plans.feature_table import build_feature_table, corridor_segments
+
+    place = "tmc string, road string, direction string, intersection string, start_latitude double, start_longitude double, end_latitude double, end_longitude double, miles double, road_order double, active_start_date timestamp"
+    segments = spark.createDataFrame([
+        ("in", "I-10", "E", "x", 33.1, -112.0, 33.2, -112.0, 1.0, 1.0, None), ("out", "I-10", "E", "x", 35.1, -112.0, 35.2, -112.0, 1.0, 2.0, None),
+        ("other", "US-60", "E", "x", 33.1, -112.0, 33.2, -112.0, 1.0, 3.0, None),
+    ], place)
+    box = (33.0, 34.0, -113.0, -111.0)
+    names = lambda **k: {r["tmc"] for r in corridor_segments(segments, **k).collect()}
+    assert names(bbox=box, road="I-10") == {"in"} and names(bbox=box) == {"in", "other"} and names(road="I-10") == {"in", "out"} and len(names()) == 3
+    readings = spark.sql("select t tmc_code, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,h) measurement_tstamp, 50d speed, 60d travel_time_seconds, 60d reference_speed from (select explode(array('in','out','other')) t), (select explode(sequence(0, 5)) h)")
+    events = spark.createDataFrame([], "ID string, RoadwayName string, DirectionOfTravel string, EventType string, EventSubType string, StartDate timestamp, PlannedEndDate timestamp, Reported timestamp, LastUpdated timestamp, Latitude double, Longitude double")
+    table = build_feature_table(events, segments, readings, bbox=box, road="I-10")
+    assert {r["tmc_code"] for r in table.select("tmc_code").distinct().collect()} == {"in"}
 
 
 def test_stream_upsert_replay_and_empty_batch(spark, tmp_path):
