@@ -21,7 +21,6 @@ def nearest_segment_join(
     lat: str = "Latitude",
     lon: str = "Longitude",
     direction: str = "DirectionOfTravel",
-    salts: int | None = None,
 ) -> DataFrame:
     """Attach the nearest segment that runs in the event's direction.
 
@@ -31,16 +30,20 @@ def nearest_segment_join(
     coordinates stay unmatched; ties go to the lowest segment code.
 
     The search is exact and never compares every event with every segment.  Cells
-    form a pyramid of doubling sizes.  On each level a segment registers in the
-    cells along it and two rings around them, which covers every cell within one
-    cell of the segment.  A point looks up the finest level at which its cell has
-    segments, and the nearest of those gives an upper bound on its distance.  On the
-    first level whose cells are at least that bound wide, all segments that could be
-    nearer are registered in the point's cell, so one more equi-join, keeping only
-    pairs within the bound, finds the answer.  The top level covers the whole area.
-
-    Equal points are searched once; where points far outnumber segments, cell
-    lookups are salted against dense cells (``salts`` overrides the number).
+    form a pyramid of doubling sizes, the finest a quarter as wide as all but the
+    longest segments are long.  A segment registers from the level on whose cells
+    fit its own length, so one very long segment, or one far-off coordinate, adds
+    levels but widens no cell.  On each level it registers in the cells along it and
+    two rings around them, which covers every cell within one cell of it.  A point
+    looks up the finest level at which its cell has segments, and the nearest of
+    those gives an upper bound on its distance.  On the first level whose cells are
+    at least that bound wide, all segments that could be nearer are registered in
+    the point's cell, but for longer ones that begin on coarser levels: those are
+    looked up on the level each begins at.  Only pairs within the bound stay.  The
+    top level covers the whole area.
+
+    Equal points are searched once; dense cells are left to Spark's splitting of
+    skewed joins.
     """
     located = events.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     # Driver scalars only: projection latitude, extents, and which of the four directions exist.
@@ -55,8 +58,8 @@ def nearest_segment_join(
         F.max(F.greatest("start_latitude", "end_latitude")).alias("y1"),
         F.min(F.least("start_longitude", "end_longitude")).alias("x0"),
         F.max(F.greatest("start_longitude", "end_longitude")).alias("x1"),
-        F.max(F.abs(F.col("start_latitude") - F.col("end_latitude"))).alias("dy"),
-        F.max(F.abs(F.col("start_longitude") - F.col("end_longitude"))).alias("dx"),
+        F.percentile_approx(F.abs(F.col("start_latitude") - F.col("end_latitude")), 0.95).alias("usual_y"),
+        F.percentile_approx(F.abs(F.col("start_longitude") - F.col("end_longitude")), 0.95).alias("usual_x"),
         *[F.coalesce(F.bool_or(upper.contains(n)), F.lit(False)).alias(d) for d, n in DIRECTION_NAMES.items()],
     ).first()
     if point_stats["lat0"] is None or seg_stats["x0"] is None:
@@ -69,12 +72,9 @@ def nearest_segment_join(
     width = (max(point_stats["x1"], seg_stats["x1"]) - min(point_stats["x0"], seg_stats["x0"])) * per_lon
     height = (max(point_stats["y1"], seg_stats["y1"]) - min(point_stats["y0"], seg_stats["y0"])) * METRES_PER_DEGREE_LAT
     span = max(width, height, 1.0)
-    longest = max(seg_stats["dx"] * per_lon, seg_stats["dy"] * METRES_PER_DEGREE_LAT)
-    # Bounded cells per segment: the longest one passes about 16 finest cells.
-    base = max(longest / 16, span / 4096, 1e-3)
+    usual = max(float(seg_stats["usual_x"]) * per_lon, float(seg_stats["usual_y"]) * METRES_PER_DEGREE_LAT)
+    base = max(usual / 4, span / 2**16, 1e-3)
     top = max(0, math.ceil(math.log2(span / base))) + 1
-    if salts is None:
-        salts = max(1, min(16, point_stats["n"] // (1000 * seg_stats["n"])))
 
     def project(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
         columns = {}
@@ -94,35 +94,36 @@ def nearest_segment_join(
     seg = project(segments, {"a": ("start_latitude", "start_longitude"), "b": ("end_latitude", "end_longitude")})
     seg = seg.select("tmc", "direction", "ax", "ay", "bx", "by").dropna(subset=["ax", "ay", "bx", "by"])
     length = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
-    walked = seg.select("tmc", "ax", "ay", "bx", "by", levels)
+    first = F.greatest(F.lit(0), F.least(F.lit(top), F.ceil(F.log2(F.greatest(length, F.lit(base)) / F.lit(4 * base))).cast("int")))
+    walked = seg.select("tmc", "ax", "ay", "bx", "by", first.alias("first"))
+    walked = walked.select("*", F.explode(F.sequence(F.col("first"), F.lit(top))).alias("level"))
     walked = walked.withColumn("steps", F.ceil(length * F.lit(math.sqrt(2.0)) / size) + 1)
     walked = walked.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("steps"))))
     walked = walked.withColumn("t", F.col("step") / F.col("steps"))
     near = walked.select(
-        "tmc", "level", cell(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("t")).alias("sx"),
+        "tmc", "level", (level == F.col("first")).alias("begins"), cell(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("t")).alias("sx"),
         cell(F.col("ay") + (F.col("by") - F.col("ay")) * F.col("t")).alias("sy"),
     ).distinct()
     ring = F.explode(F.sequence(F.lit(-2), F.lit(2)))
     near = near.withColumn("rx", ring).withColumn("ry", ring).select(
-        "tmc", "level", (F.col("sx") + F.col("rx")).alias("cx"), (F.col("sy") + F.col("ry")).alias("cy")
+        "tmc", "level", "begins", (F.col("sx") + F.col("rx")).alias("cx"), (F.col("sy") + F.col("ry")).alias("cy")
     ).distinct()
     known = [d for d in DIRECTION_NAMES if seg_stats[d]]
     classes = F.array_compact(F.array(
         F.lit(ANY), *[F.when(upper.contains(DIRECTION_NAMES[d]), F.lit(d)) for d in known]
     ))
-    registered = near.join(seg, "tmc").select("*", F.explode(classes).alias("cls")).drop("direction")
-    registered = materialise(registered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "segment-cells")
+    registered = materialise(near.join(seg, "tmc").select("*", F.explode(classes).alias("cls")).drop("direction"), "segment-cells")
+    # At most one number per level.
+    begin_levels = sorted(r["level"] for r in registered.where("begins").select("level").distinct().collect())
 
     # Distinct points of each direction class.
     search = F.lower(F.col(direction))
     cls = F.when(search.isin(known), search).otherwise(F.lit(ANY)) if known else F.lit(ANY)
     points = located.select(F.col(lat).alias("__lat"), F.col(lon).alias("__lon"), cls.alias("cls")).distinct()
-    points = project(points, {"p": ("__lat", "__lon")}).withColumn(
-        "salt", F.pmod(F.xxhash64("__lat", "__lon"), F.lit(salts)).cast("int")
-    )
-    where = ["cls", "level", "cx", "cy", "salt"]
+    points = project(points, {"p": ("__lat", "__lon")})
+    where = ["cls", "level", "cx", "cy"]
     key = ["cls", "__lat", "__lon"]
-    point = [*key, "px", "py", "salt"]
+    point = [*key, "px", "py"]
 
     def in_cells(df: DataFrame) -> DataFrame:
         return df.withColumns({"cx": cell(F.col("px")), "cy": cell(F.col("py"))})
@@ -144,8 +145,10 @@ def nearest_segment_join(
     bounded = measured(in_cells(finest)).groupBy(*point, "level").agg(F.min("dist2").alias("bound"))
     bounded = materialise(bounded, "bounds")
     needed = F.ceil(F.log2(F.greatest(F.sqrt("bound"), F.lit(1e-9)) / F.lit(base))).cast("int")
-    final = bounded.withColumn("level", F.least(F.greatest(level, needed), F.lit(top)))
-    within = measured(in_cells(final)).where(F.col("dist2") <= F.col("bound"))
+    final = bounded.withColumn("found", F.least(F.greatest(level, needed), F.lit(top)))
+    coarser = F.filter(F.array(*map(F.lit, begin_levels)), lambda x: x > F.col("found"))
+    final = final.withColumn("level", F.explode(F.concat(F.array("found"), coarser)))
+    within = measured(in_cells(final)).where(((level == F.col("found")) | F.col("begins")) & (F.col("dist2") <= F.col("bound")))
     best = within.groupBy(*key).agg(F.min(F.struct("dist2", "tmc", F.col("qx").alias("x"), F.col("qy").alias("y"), "t")).alias("best"))
     matches = best.select(
         F.col("cls").alias("__cls"), F.col("__lat").alias("__mlat"), F.col("__lon").alias("__mlon"),

@@ -108,8 +108,8 @@ def brute_nearest(events, segments):
 
 
 @pytest.mark.parametrize("seed,length,spread", [(1, 0.002, 0.1), (2, 0.3, 0.3), (3, 0.0, 0.2), (4, 0.01, 5.0)])
-@pytest.mark.parametrize("salts", [None, 3])
-def test_nearest_segment_against_brute_force(spark, seed, length, spread, salts):
+@pytest.mark.parametrize("outliers", [False, True])
+def test_nearest_segment_against_brute_force(spark, seed, length, spread, outliers):
     rng = random.Random(seed)
     directions = ["EASTBOUND", "WESTBOUND", "NORTHBOUND"]
     segments = []
@@ -120,10 +120,29 @@ def test_nearest_segment_against_brute_force(spark, seed, length, spread, salts)
               for i in range(80)]
     # A hot point, and one without coordinates.
     events += [(100 + i, 33.01, -111.99, "east") for i in range(30)] + [(999, None, -112.0, "east")]
-    got = spatial.nearest_segment_join(spark.createDataFrame(events, EVENT), spark.createDataFrame(segments, SEGMENT), salts=salts)
+    if outliers:  # one end, and one event, at a default coordinate
+        segments.append(("far", "EASTBOUND", 33.05, -112.0, 0.0, 0.0))
+        events.append((998, 0.0, 0.0, "east"))
+    got = spatial.nearest_segment_join(spark.createDataFrame(events, EVENT), spark.createDataFrame(segments, SEGMENT))
     assert {r["ID"]: r["near_tmc"] for r in got.collect()} == brute_nearest(events, segments)
 
 
+def test_one_bad_coordinate_does_not_pair_everything(spark, monkeypatch):
+    """The cells stay as fine as the usual segment is short: compared pairs grow with the events, not with events x segments."""
+    rng = random.Random(9)
+    place = lambda: (33 + rng.uniform(0, 1), -112 + rng.uniform(0, 1))
+    segments = [(f"s{i}", "EASTBOUND", la, lo, la + 0.002, lo + 0.002) for i, (la, lo) in enumerate(place() for _ in range(600))]
+    segments.append(("far", "EASTBOUND", 33.0, -112.0, 0.0, 0.0))
+    written = []
+    real = spatial.materialise
+    monkeypatch.setattr(spatial, "materialise", lambda df, name: written.append((name, real(df, name))) or written[-1][1])
+    events = [(i, *place(), "east") for i in range(200)]
+    spatial.nearest_segment_join(spark.createDataFrame(events, EVENT), spark.createDataFrame(segments, SEGMENT)).count()
+    cells = dict(written)["segment-cells"]
+    finest = cells.where("level = 0").groupBy("cls", "cx", "cy").count().agg({"count": "max"}).first()[0]
+    assert finest < 30
+
+
 def test_nearest_tie_and_degenerate(spark):
     twins = [("b", "EASTBOUND", 33.0, -112.0, 33.0, -111.9), ("a", "EASTBOUND", 33.0, -112.0, 33.0, -111.9)]
     event = spark.createDataFrame([(1, 33.01, -111.95, "east")], EVENT)
