@@ -14,6 +14,7 @@ import base64
 import codecs
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-# Distinct words a worker remembers; beyond that it starts anew, which costs time only.
-REMEMBERED = 300_000
+# Distinct words in a worker's newer memory.  When it is full it becomes the older one, from which words
+# come back on use, and the former older one is forgotten.  This costs time only.
+REMEMBERED = 500_000
 # Tokens expanded at a time while decoding.
 SLICE = 1 << 20
 
 # A space before anything but these is not taken for a border.  Fixed value.
 _VISIBLE = "!-~À-ɏ"
 _BORDER = re.compile(f" (?=[{_VISIBLE}])")
+_LINES = re.compile(f"(.*[{_VISIBLE}])\n([{_VISIBLE}].*)")
 _ODD_SPACE = re.compile(f" (?![{_VISIBLE}])")
 
 
@@ -83,25 +86,36 @@ def read_tokenizer(path: str) -> str:
 
 
 class _Words(dict):
-    """Ids, as bytes, of words behind a prefix; missing words are encoded on first use."""
+    """Ids, as bytes, of words behind a prefix; missing words are encoded on first use.
 
-    def __init__(self, tokenizer: Tokenizer, prefix: str):
+    ``plain``: the same without a prefix, for what stands behind a line break.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, prefix: str, plain: _Words | None = None):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer, self.prefix, self.plain, self.older = tokenizer, prefix, self if plain is None else plain, {}
 
     def __missing__(self, word: str) -> bytes:
-        # A letter before a comma or full stop ends a match of every split pattern in use here.
-        if len(word) > 1 and word[-1] in ",." and word[-2].isascii() and word[-2].isalpha():
-            ids = self[word[:-1]] + self._encode(word[-1])
-        else:
-            ids = self._encode(self.prefix + word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._made(word)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
+    def _made(self, word: str) -> bytes:
+        # Borders of every split pattern in use here: a letter before a comma or full stop, and
+        # either side of a line break that stands between visible characters.
+        if len(word) > 1 and word[-1] in ",." and word[-2].isascii() and word[-2].isalpha():
+            return self[word[:-1]] + self.plain[word[-1]]
+        if "\n" in word and (lines := _LINES.fullmatch(word)):
+            return self[lines[1]] + self._encode("\n") + self.plain[lines[2]]
+        return self._encode(self.prefix + word)
+
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 class Encoder:
@@ -110,7 +124,8 @@ class Encoder:
     def __init__(self, tokenizer: str):
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.later = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
+        self.first = _Words(self.tokenizer, "")
+        self.later = _Words(self.tokenizer, " ", self.first)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -135,7 +150,8 @@ def encode(text: Column, tokenizer: str) -> Column:
         encoder = _encoder(tokenizer)
         return pa.array([encoder(t.as_py()) for t in texts], pa.binary())
 
-    return run(text)
+    # Else Spark may copy the call into every expression that uses the ids.
+    return run.asNondeterministic()(text)
 
 
 # -------------------------------------------------------------------- decoding
@@ -196,7 +212,7 @@ def token_offsets(text: str, ids: bytes, tokenizer: str) -> list[tuple[int, int]
     if data.tobytes() != text.encode():
         raise ValueError("these ids are not those of this text")
     character = np.cumsum((data & 0xC0) != 0x80) - 1  # of each byte
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends]).astype(np.int64)[:-1]
     return [(int(character[a]), int(character[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
 
 
