@@ -7,8 +7,8 @@ the smallest hash is its anchor, and equal strings have equal anchors.
 
 1. Anchors of all documents meet by hash; only those in two documents or more
    matter, and their documents learn which.
-2. Around such an anchor 30 bytes to either side decide all 50-byte strings that
-   contain it.  Distinct contexts of an anchor meet, each with the smallest id it
+2. Up to 30 bytes to either side of such an anchor decide all 50-byte strings that
+   it is the anchor of.  Distinct contexts of an anchor meet, each with the smallest id it
    comes from.  Where an anchor has one context only, all strings in it are equal.
    Otherwise the suffix array of the contexts tells which strings of different
    contexts are equal.
@@ -34,7 +34,7 @@ LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR
 HALF = SIDE // 2
 # Anchors held by a task before it passes them on, and joined by one task on average.
-HELD, BUCKET = 1_500_000, 4_000_000
+HELD, BUCKET = 750_000, 1_000_000
 # Bytes of text per distinct anchor, roughly; and symbols in one suffix array.
 PER_ANCHOR, SYMBOLS = 16, 200_000
 _U = np.uint64
@@ -135,11 +135,14 @@ def suffix_array(text: list[int]) -> list[int]:
 # --------------------------------------------------------------------- anchors
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all strings of 50 bytes: equal strings have equal anchors at equal places."""
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors, and the hash of its anchor for each string of 50 bytes.
+
+    Equal strings have equal anchors at equal places.
+    """
     span = SIDE + 1
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
     numbers = np.frombuffer(data, np.uint8).astype(_U) + _U(1)
     up, down = _powers(max(12, len(data).bit_length()))
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(numbers * up[: len(data)])])
@@ -148,7 +151,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     # A string is an anchor if it is the least of some window around it.
     padded = np.concatenate([np.zeros(span - 1, _U), least, np.zeros(span - 1, _U)])
     at = np.flatnonzero(_sliding(np.maximum, padded, span) == hashes)
-    return at, hashes[at]
+    return at, hashes[at], least
 
 
 def _sliding(pick: np.ufunc, values: np.ndarray, span: int) -> np.ndarray:
@@ -263,13 +266,16 @@ def _meet(group: pa.Table) -> pa.Table:
 
 # -------------------------------------------------------------------- contexts
 
+_OFFSETS = np.arange(SIDE + 1)
 _CONTEXTS = "bucket int, block bigint, part int, data binary"
 _FIELDS = (("anchor", "<u8"), ("left", f"({SIDE},)u1"), ("right", f"({SIDE},)u1"), ("lefts", "u1"), ("rights", "u1"), ("several", "u1"), ("id", "<i8"), ("at", "<i4"))
 _CONTEXT = np.dtype([(n, t) for n, t in _FIELDS])
 _PLACE = np.dtype([("row", "<i4"), ("at", "<i4"), ("context", "<i4")])
 _ROW = np.dtype([("key", "<i8"), ("id", "<i8")])
 _RUN = np.dtype([("at", "<i4"), ("first", "u1"), ("last", "u1"), ("id", "<i8")])
-HELD_CONTEXTS = 200_000
+HELD_CONTEXTS = 60_000
+# Rows that are unfolded to windows at a time; buckets of contexts for each bucket of anchors.
+UNFOLDED, FINER = 20_000, 4
 
 
 def _weights(n: int, salt: int) -> np.ndarray:
@@ -279,9 +285,17 @@ def _weights(n: int, salt: int) -> np.ndarray:
 _WL, _WR = _weights(SIDE, 1000), _weights(SIDE, 2000)
 
 
+def _weighed(letters: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A hash of each row of letters, column by column to hold little."""
+    total = np.zeros(len(letters), _U)
+    for j, weight in enumerate(weights):
+        total += (letters[:, j].astype(_U) + _U(1)) * weight
+    return total
+
+
 def _digest(contexts: np.ndarray) -> np.ndarray:
     """One number per anchor and context."""
-    x = contexts["anchor"] + ((contexts["left"].astype(_U) + _U(1)) * _WL).sum(1, dtype=_U) + ((contexts["right"].astype(_U) + _U(1)) * _WR).sum(1, dtype=_U)
+    x = contexts["anchor"] + _weighed(contexts["left"], _WL) + _weighed(contexts["right"], _WR)
     return mix(x + contexts["lefts"].astype(_U) * _U(0x9E3779B97F4A7C15) + contexts["rights"].astype(_U) * _U(0xC2B2AE3D27D4EB4F))
 
 
@@ -318,8 +332,8 @@ def _cut_contexts(n_buckets: int):
         parts, places, rows, held = [], [], [], 0
         for batch in batches:
             for r in range(batch.num_rows):
-                key, number, data, wanted = (batch.column(c)[r].as_py() for c in range(4))
-                at, hashes = anchors(data)
+                key, number, data, wanted = (batch.column(c)[r].as_py() for c in ("key", "id", "data", "hashes"))
+                at, hashes, least = anchors(data)
                 asked = np.isin(hashes & _LOW, _join48(b"".join(wanted)))
                 at, hashes = at[asked], hashes[asked]
                 if not len(at):
@@ -329,7 +343,13 @@ def _cut_contexts(n_buckets: int):
                 made["anchor"], made["id"] = hashes, number
                 made["left"] = padded[at[:, None] + np.arange(SIDE)]
                 made["right"] = padded[at[:, None] + (SIDE + ANCHOR) + np.arange(SIDE)]
-                made["lefts"], made["rights"] = np.minimum(at, SIDE), np.minimum(len(data) - at - ANCHOR, SIDE)
+                # The strings it is the anchor of are neighbours; what they don't reach is blank.
+                begin = at[:, None] - _OFFSETS
+                owned = (begin >= 0) & (begin < len(least)) & (least[np.clip(begin, 0, len(least) - 1)] == hashes[:, None])
+                made["lefts"] = SIDE - owned[:, ::-1].argmax(1)
+                made["rights"] = SIDE - owned.argmax(1)
+                made["left"] *= np.arange(SIDE)[::-1] < made["lefts"][:, None]
+                made["right"] *= np.arange(SIDE) < made["rights"][:, None]
                 where = np.zeros(len(at), _PLACE)
                 where["row"], where["at"] = len(rows), at
                 parts.append(made)
@@ -348,8 +368,6 @@ def _cut_contexts(n_buckets: int):
 # anchor is one symbol.  It has half of SIDE on one side at least, so contexts that differ in the nearer
 # half of both sides share no window: either kind of half makes groups, and a context that
 # is alone in its group is done with.
-_OFFSETS = np.arange(SIDE + 1)
-
 
 def _equal_windows(contexts: np.ndarray, least: np.ndarray, right_half: bool) -> None:
     """Lower ``least[context, o]`` to the smallest id of any context with an equal window, by suffix arrays.
@@ -357,11 +375,11 @@ def _equal_windows(contexts: np.ndarray, least: np.ndarray, right_half: bool) ->
     ``right_half``: windows with at most half of SIDE on the left, in groups of equal right halves; else the others.
     """
     if right_half:
-        able, half = contexts["rights"] >= HALF, ((contexts["right"][:, :HALF].astype(_U) + _U(1)) * _WR[:HALF]).sum(1, dtype=_U)
+        able, half = contexts["rights"] >= HALF, _weighed(contexts["right"][:, :HALF], _WR[:HALF])
         lefts, rights = np.minimum(contexts["lefts"], HALF).astype(np.int64), contexts["rights"].astype(np.int64)
         low, high = 0, HALF
     else:
-        able, half = contexts["lefts"] > HALF, ((contexts["left"][:, -HALF - 1 :].astype(_U) + _U(1)) * _WL[: HALF + 1]).sum(1, dtype=_U)
+        able, half = contexts["lefts"] > HALF, _weighed(contexts["left"][:, -HALF - 1 :], _WL[: HALF + 1])
         lefts, rights = contexts["lefts"].astype(np.int64), np.minimum(contexts["rights"], SIDE - HALF - 1).astype(np.int64)
         low, high = HALF + 1, SIDE
     able &= lefts + rights >= SIDE
@@ -433,17 +451,20 @@ def _compare(group: pa.Table) -> pa.Table:
     # What some document of the block can learn from: an id below the block's own, or several ids in the block.
     told = np.flatnonzero((least.min(1)[which] < entries["id"]) | (entries["several"] > 0))
     entries, block, which = entries[told], block[told], which[told]
-    values = least[which]
-    valid = (entries["lefts"][:, None] >= _OFFSETS) & (entries["rights"][:, None] >= SIDE - _OFFSETS)
-    values = np.where(valid, values, _NEVER)
-    new = np.concatenate([np.ones((len(values), 1), bool), values[:, 1:] != values[:, :-1]], 1)
-    row, first = np.nonzero(new)
-    last = np.append(first[1:], 0) - 1
-    last[np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)] = SIDE
-    runs = np.zeros(len(row), _RUN)
-    runs["at"], runs["first"], runs["last"], runs["id"] = entries["at"][row], first, last, values[row, first]
-    useful = runs["id"] != _NEVER
-    runs, home = runs[useful], block[row[useful]]
+    found, homes = [], []
+    for i in range(0, len(told), UNFOLDED):
+        some = entries[i : i + UNFOLDED]
+        valid = (some["lefts"][:, None] >= _OFFSETS) & (some["rights"][:, None] >= SIDE - _OFFSETS)
+        values = np.where(valid, least[which[i : i + UNFOLDED]], _NEVER)
+        row, first = np.nonzero(np.concatenate([np.ones((len(values), 1), bool), values[:, 1:] != values[:, :-1]], 1))
+        last = np.append(first[1:], 0) - 1
+        last[np.append(row[1:] != row[:-1], True)] = SIDE
+        runs = np.zeros(len(row), _RUN)
+        runs["at"], runs["first"], runs["last"], runs["id"] = some["at"][row], first, last, values[row, first]
+        useful = runs["id"] != _NEVER
+        found.append(runs[useful])
+        homes.append(block[i : i + UNFOLDED][row[useful]])
+    runs, home = np.concatenate([*found, np.zeros(0, _RUN)]), np.concatenate([*homes, np.zeros(0, np.int64)])
     by = np.argsort(home, kind="stable")
     runs, home = runs[by], home[by]
     begins, ends = _groups(home)
@@ -491,26 +512,29 @@ def _resolve(group: pa.Table) -> pa.Table:
 # ------------------------------------------------------------------ Spark jobs
 
 
-def repeated_ranges(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row_key, starts, ends): the maximal byte ranges that go, for every row that loses any.
+def repeated_ranges(keyed: DataFrame, own: str, key: str, text: str) -> DataFrame:
+    """(key, starts, ends): the maximal byte ranges that go, for every row that loses any.
 
-    ``row_key`` is :func:`row_key` of the row.
+    ``own`` holds the :func:`row_key` of each row of ``keyed``.
     """
-    small_batches(df.sparkSession)
+    small_batches(keyed.sparkSession)
     data = F.col(f"`{text}`").cast("binary")
-    rows = df.where(F.col(f"`{key}`").isNotNull() & (F.length(data) >= LENGTH)).select(
-        row_key(key, text).alias("key"), F.col(f"`{key}`").cast("long").alias("id"), data.alias("data")
-    )
+    rows = keyed.where(F.col(f"`{key}`").isNotNull() & (F.length(data) >= LENGTH)).select(F.col(own).alias("key"), data.alias("data"))
     total = rows.agg(F.sum(F.length("data"))).first()[0] or 0
     n_buckets = max(8, -(-total // (PER_ANCHOR * BUCKET)))
-    announced = rows.select("key", "data").mapInArrow(_announce(n_buckets), _ANNOUNCED)
+    announced = rows.mapInArrow(_announce(n_buckets), _ANNOUNCED)
     replies = announced.groupBy("bucket").applyInArrow(_meet, _REPLY).groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
-    asked = rows.join(replies, "key").select("key", "id", "data", "hashes")
-    contexts = asked.mapInArrow(_cut_contexts(n_buckets), _CONTEXTS)
+    # All columns come along: so this and the caller's join deal the texts out in one and the same shuffle.
+    numbered = [F.col(f"`{c}`").alias(f"column{i}") for i, c in enumerate(keyed.columns) if c not in (own, key, text)]
+    answered, wanted = fresh(keyed, "__answered", "__wanted")
+    asked = keyed.join(replies.toDF(answered, wanted), F.col(own) == F.col(answered)).select(
+        F.col(own).alias("key"), F.col(f"`{key}`").cast("long").alias("id"), data.alias("data"), F.col(wanted).alias("hashes"), *numbered
+    )
+    contexts = asked.mapInArrow(_cut_contexts(FINER * n_buckets), _CONTEXTS)
     compared = contexts.groupBy("bucket").applyInArrow(_compare, "block bigint, part int, data binary")
     ranges = compared.groupBy("block").applyInArrow(_resolve, _RANGES)
     # Rows that agree in id and text have one answer.
-    return ranges.groupBy("key").agg(F.first(F.struct("starts", "ends")).alias("r")).select(F.col("key").alias("row_key"), "r.starts", "r.ends")
+    return ranges.groupBy("key").agg(F.first(F.struct("starts", "ends")).alias("r")).select("key", "r.starts", "r.ends")
 
 
 def row_key(key: str, text: str) -> Column:
@@ -536,7 +560,6 @@ def remove_repeats(df: DataFrame, key: str, text: str, names: tuple[str, str] =
     ``characters`` a character of which only a part would go stays whole.
     Columns of the two names are replaced.
     """
-    found = repeated_ranges(df, key, text)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
 
     @F.arrow_udf("binary")
@@ -552,8 +575,9 @@ def remove_repeats(df: DataFrame, key: str, text: str, names: tuple[str, str] =
         return pa.array(out, pa.binary())
 
     own, other, first, last = fresh(df, "__row", "__other", "__starts", "__ends")
-    found = found.toDF(other, first, last)
-    joined = df.withColumn(own, row_key(key, text)).join(found, F.col(own) == F.col(other), "left")
+    keyed = df.withColumn(own, row_key(key, text))
+    found = repeated_ranges(keyed, own, key, text).toDF(other, first, last)
+    joined = keyed.join(found, F.col(own) == F.col(other), "left")
     ranges = F.coalesce(F.transform(F.arrays_zip(first, last), lambda x: F.struct(x[first].alias("start"), x[last].alias("end"))), F.array().cast("array<struct<start:bigint,end:bigint>>"))
     return joined.select(
         *kept, ranges.alias(names[0]), cut(F.col(f"`{text}`").cast("binary"), F.col(first), F.col(last)).alias(names[1]),

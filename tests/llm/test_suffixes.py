@@ -47,9 +47,9 @@ def test_equal_strings_have_equal_anchors():
         shared = bytes(draw.choice(alphabet) for _ in range(50))
         for _ in range(40):
             left, right = (bytes(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(2))
-            at, hashes = suffixes.anchors(left + shared + right)
+            at, hashes, _ = suffixes.anchors(left + shared + right)
             inside = {(a - len(left), h) for a, h in zip(at.tolist(), hashes.tolist()) if len(left) <= a <= len(left) + 30}
-            alone = {(a, h) for a, h in zip(*(x.tolist() for x in suffixes.anchors(shared)))}
+            alone = {(a, h) for a, h in zip(*(x.tolist() for x in suffixes.anchors(shared)[:2]))}
             assert alone & inside == alone
 
 
