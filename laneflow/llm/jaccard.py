@@ -185,8 +185,8 @@ def summarise(df: DataFrame, key: str, text: str, words: int = WORDS) -> tuple[D
 def shared_prefixes(df: DataFrame, text: str, order: Order, entries: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(token, cls, n): prefix n-grams that occur in the prefixes of two classes or more.
 
-    Entries travel in blocks.  N-grams known to be common go straight through as
-    rows, which Spark can spread; a bucket holds the others.
+    Entries travel in blocks.  A bucket joins those of rare n-grams; n-grams known
+    to be common are only unpacked, block by block, for Spark to spread as rows.
     """
     small_batches(df.sparkSession)
     n_buckets = max(8, -(-entries // BUCKET_ENTRIES))
@@ -199,9 +199,9 @@ def shared_prefixes(df: DataFrame, text: str, order: Order, entries: int, words:
         flat = np.concatenate(tokens)
         member = np.repeat(np.arange(len(classes), dtype=np.int32), [len(t) for t in tokens])
         cls, size = np.array(classes, np.int64), np.array(sizes, np.int32)
-        bucket = np.where(flat >> _U(58) > 0, -1, (mix(flat) % _U(n_buckets)).astype(np.int64))
+        bucket = np.where(flat >> _U(58) > 0, -1 - int(cls[0] % n_buckets), (mix(flat) % _U(n_buckets)).astype(np.int64))
         by = np.argsort(bucket, kind="stable")
-        bounds = np.flatnonzero(np.diff(bucket[by], prepend=-2))
+        bounds = np.flatnonzero(np.diff(bucket[by], prepend=n_buckets))
         for part in np.split(by, bounds[1:]):
             used, local = np.unique(member[part], return_inverse=True)
             yield pa.RecordBatch.from_pydict({
@@ -240,6 +240,8 @@ def shared_prefixes(df: DataFrame, text: str, order: Order, entries: int, words:
 
     def meet(group: pa.Table) -> pa.Table:
         token, cls, size = (np.concatenate(x) for x in zip(*map(expand, group.to_pylist()), strict=True))
+        if group.column("bucket")[0].as_py() < 0:
+            return as_rows(token, cls, size)
         by = np.lexsort((cls, token))
         token, cls, size = token[by], cls[by], size[by]
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])
@@ -248,15 +250,12 @@ def shared_prefixes(df: DataFrame, text: str, order: Order, entries: int, words:
         several = follows[:-1] | follows[1:]
         return as_rows(token[several], cls[several], size[several])
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from as_rows(*expand(row)).to_batches(max_chunksize=10_000)
-
-    blocks = materialise(df.select(F.col(f"`{text}`")).mapInArrow(run, schema), "prefixes")
-    rare = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "token bigint, cls bigint, n bigint")
-    common = blocks.where("bucket < 0").mapInArrow(unfold, "token bigint, cls bigint, n bigint").distinct()
-    return materialise(rare.unionByName(common), "shared")
+    blocks = df.select(F.col(f"`{text}`")).mapInArrow(run, schema)
+    met = blocks.groupBy("bucket").applyInArrow(meet, "token bigint, cls bigint, n bigint")
+    # Common n-grams come once per block.
+    met = materialise(met, "met")
+    rare = F.shiftrightunsigned("token", 58) == 0
+    return met.where(rare).unionByName(met.where(~rare).distinct())
 
 
 def count_overlaps(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -268,8 +267,8 @@ def count_overlaps(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT
     two = segments.select(F.col("cls").alias("b"), "fragment", F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     cells = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     partial = cells.join(one, ["a", "fragment"]).join(two, ["b", "fragment"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("part")
-    )
+        "a", "b", "fragment", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("part")
+    ).distinct()  # rows that are repeated must not count twice
     return partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("overlap")).where(
         F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent
     ).select("a", "b")
@@ -294,35 +293,27 @@ def jaccard_components(df: DataFrame, key: str, text: str, words: int = WORDS, p
     entries = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     shared = shared_prefixes(df, text, order, entries, words, percent)
 
-    # Rows that can have partners, once per class: those of the smallest key.
-    partners = shared.select("cls").distinct().join(classes, "cls").select("cls", F.col("least").alias("k"))
-    segments = materialise(segment_sets(df, key, text, partners, order, words), "segments")
-
     central = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("shares"))
     members = materialise(shared.join(central, "cls"), "members")
-    links, tried, labels = None, None, None
-    for number in range(STAR_ROUNDS):
+
+    # Pairs with the central members, and all others that would be left if these linked: whoever is in them
+    # gets its segments, and all are counted.
+    stars = materialise(star_pairs(members.withColumn("comp", F.col("cls")), percent, 0), "pairs")
+    pairs = stars.unionByName(materialise(remaining_pairs(with_components(members, components_of(stars)), percent), "pairs")).distinct()
+    pairs = materialise(pairs, "pairs")
+    partners = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    segments = materialise(segment_sets(df, key, text, partners.join(classes, "cls").select("cls", F.col("least").alias("k")), order, words), "segments")
+    links = materialise(count_overlaps(pairs, segments, percent), "links")
+    labels, tried = components_of(links), pairs
+    # Where a star did not hold, its members, which have their segments, meet again.
+    for number in range(1, STAR_ROUNDS + 1):
         current = with_components(members, labels)
-        if labels is not None:
-            mixed = current.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-            current = current.join(mixed, "token", "left_semi")
-        # The member that shares most of its prefix; later rounds take another one.
-        rank = F.col("shares") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) if number == 0 else F.xxhash64(F.lit(number), "comp").cast("double")
-        heads = current.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "cls", "n", "comp")).alias("head"))
-        met = current.join(heads, "token").where((F.col("head.comp") != F.col("comp")) & similar_sizes("n", "head.n", percent))
-        counted = met.groupBy("cls", F.col("head.cls").alias("other")).agg(F.count(F.lit(1)).alias("times"))
-        best = counted.groupBy("cls").agg(F.max(F.struct("times", "other")).getField("other").alias("other"))
-        pairs = best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = materialise(count_overlaps(pairs, segments, percent), "links")
-        links = new if links is None else links.unionByName(new)
+        again = star_pairs(current, percent, number) if number < STAR_ROUNDS else remaining_pairs(current, percent)
+        again = materialise(again.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(again)
+        links = links.unionByName(materialise(count_overlaps(again, segments, percent), "links"))
         labels = components_of(links)
 
-    rest = remaining_pairs(with_components(members, labels), percent).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(materialise(count_overlaps(materialise(rest, "pairs"), segments, percent), "links"))
-    labels = components_of(links)
-
     named = classes.join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     answer = named.join(smallest, "comp").select("cls", "component_id")
@@ -331,13 +322,39 @@ def jaccard_components(df: DataFrame, key: str, text: str, words: int = WORDS, p
     )
 
 
+def star_pairs(current: DataFrame, percent: int, number: int) -> DataFrame:
+    """Each member with the head of most of its groups, if it is in another component and shares enough with it.
+
+    First the heads are the members that share most of their prefix; in later rounds they are drawn anew.
+    """
+    if number:
+        rank = F.xxhash64(F.lit(number), "comp").cast("double")
+    else:
+        rank = F.col("shares") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    heads = current.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "cls", "n", "comp")).alias("head"))
+    met = current.join(heads, "token").where((F.col("head.comp") != F.col("comp")) & similar_sizes("n", "head.n", percent))
+    counted = met.groupBy("cls", F.col("head.cls").alias("other")).agg(
+        F.count(F.lit(1)).alias("times"), F.first("n").alias("na"), F.first("head.n").alias("nb")
+    ).where(F.col("times") >= least_shared("na", "nb", percent))
+    best = counted.groupBy("cls").agg(F.max(F.struct("times", "other")).getField("other").alias("other"))
+    return best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+
+
+def least_shared(a: str, b: str, percent: int = PERCENT) -> Column:
+    """Prefix n-grams that similar sets of these sizes share at least.
+
+    Those of the intersection behind one prefix are at most all behind it; up to
+    the end of the prefix that ends first, the others are in both.
+    """
+    behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    return needed_overlap(F.col(a), F.col(b), percent) - F.greatest(behind(a), behind(b))
+
+
 def components_of(links: DataFrame) -> DataFrame:
     return materialise(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
 
 
-def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("comp", F.col("cls"))
+def with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
 
 
@@ -349,20 +366,21 @@ def remaining_pairs(current: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = current.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).getField("comp").alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = current.join(largest, "token")
-    few = mixed.where("comp <> major").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    all_of = mixed.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("major")).alias("big"))
-    met = few.join(all_of, "token").where((F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & similar_sizes("na", "nb", percent))
+    few = mixed.where("comp <> major").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("shares").alias("sa"))
+    all_of = mixed.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("shares").alias("sb"), (F.col("comp") == F.col("major")).alias("big"))
+    # No pair shares more than either of the two shares with anybody.
+    enough = F.least("sa", "sb") >= least_shared("na", "nb", percent)
+    met = few.join(all_of, "token").where(
+        (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & similar_sizes("na", "nb", percent) & enough
+    )
     pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.count(F.lit(1)).alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb")
     )
-    # Common n-grams not in the prefix of a are at most those behind it, so the others are in both prefixes.
-    behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    least = needed_overlap(F.col("na"), F.col("nb"), percent) - F.greatest(behind("na"), behind("nb"))
-    return pairs.where(F.col("times") >= least).select("a", "b")
+    return pairs.where(F.col("times") >= least_shared("na", "nb", percent)).select("a", "b")
 
 
 def segment_sets(df: DataFrame, key: str, text: str, partners: DataFrame, order: Order, words: int = WORDS) -> DataFrame:
-    """(cls, n, fragment, hashes) of one row of each class in ``partners`` (cls, k: a key of the class)."""
+    """(cls, n, fragment, hashes) of the rows with key k of each class in ``partners`` (cls, k); repeated rows repeat them."""
     shared = df.sparkSession.sparkContext.broadcast(order)
     docs = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("text"))
     asked = docs.join(partners, docs["k"].eqNullSafe(partners["k"])).select("cls", "text")
@@ -386,5 +404,4 @@ def segment_sets(df: DataFrame, key: str, text: str, partners: DataFrame, order:
                 "hashes": pa.array(rows["hashes"], pa.list_(pa.int64())),
             })
 
-    # Rows that repeat a key and its text would count twice.
-    return asked.mapInArrow(run, "cls bigint, n bigint, fragment int, hashes array<bigint>").dropDuplicates(["cls", "fragment"])
+    return asked.mapInArrow(run, "cls bigint, n bigint, fragment int, hashes array<bigint>")
