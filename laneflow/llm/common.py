@@ -8,14 +8,15 @@ from laneflow.session import materialise
 
 __all__ = ["materialise", "small_batches", "table", "utf8", "fresh"]
 
-# Rows in one Arrow batch.  Texts may be very long, so a batch of the default
-# 10,000 rows could outgrow a Python worker.
-BATCH_ROWS = 256
+# Rows and bytes in one Arrow batch.  Texts may be very long, and rows may hold
+# trees or indexes, so a batch of the default size could outgrow a Python worker.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers receive from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -217,7 +217,6 @@ def exact_top_k(df: DataFrame, key: str, vector: str, queries: Column, k: int, s
             })
 
     homes = at_home.join(asked.select(F.col("id").alias("query_id"), "shard"), "query_id")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     routed = materialise(homes.mapInArrow(route, "shard int, id bigint, vec array<bigint>, bound bigint"), "routed")
     elsewhere = search_blocks(routed, trees.select("shard", "blob"), search, schema)
     both = at_home.unionByName(elsewhere)

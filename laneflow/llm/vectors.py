@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from laneflow.llm.common import small_batches
+
 # Rows that a model may be fitted on, chosen by the hash of their id; index and search cover all rows.
 SAMPLE_ROWS = 20_000
 # Queries that meet a shard at a time.
@@ -80,7 +82,7 @@ def search_blocks(
                     bounds.to_numpy(zero_copy_only=False),
                 )
 
-    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(queries.sparkSession)
     return grouped.join(shards, "shard").select("queries", "blob").mapInArrow(run, schema)
 
 
