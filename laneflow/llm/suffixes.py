@@ -34,7 +34,7 @@ LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR
 HALF = SIDE // 2
 # Anchors held by a task before it passes them on, and joined by one task on average.
-HELD, BUCKET = 750_000, 1_000_000
+HELD, BUCKET = 400_000, 500_000
 # Bytes of text per distinct anchor, roughly; and symbols in one suffix array.
 PER_ANCHOR, SYMBOLS = 16, 200_000
 _U = np.uint64
