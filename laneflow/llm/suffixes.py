@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from laneflow.llm.common import fresh, small_batches
@@ -300,9 +301,12 @@ def _digest(contexts: np.ndarray) -> np.ndarray:
 
 
 def _cut_contexts(n_buckets: int):
-    """Rows (key, id, data, list of repeated anchors) to the distinct contexts of each block, and where they are."""
+    """Rows (key, id, data, list of repeated anchors) to the distinct contexts of each block, and where they are.
 
-    def flush(parts: list, places: list, rows: list) -> Iterator[pa.RecordBatch]:
+    A block is named by its task and number, not by its rows: copies of one row may begin several blocks.
+    """
+
+    def flush(parts: list, places: list, rows: list, number: int) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
         contexts, place = np.concatenate(parts), np.concatenate(places)
@@ -316,7 +320,8 @@ def _cut_contexts(n_buckets: int):
         distinct["at"] = np.arange(len(distinct))
         place["context"][by] = np.repeat(np.arange(len(begins)), ends - begins)
         row = np.array(rows, _ROW)
-        block = int(row["key"][0])
+        # Mixed one to one, so that blocks spread over the buckets.
+        block = int(mix(np.array([TaskContext.get().partitionId() << 32 | number], _U)).view(np.int64)[0])
         bucket = ((distinct["anchor"] >> _U(40)) * _U(n_buckets) >> _U(24)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -329,7 +334,7 @@ def _cut_contexts(n_buckets: int):
             })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, places, rows, held = [], [], [], 0
+        parts, places, rows, held, block = [], [], [], 0, 0
         for batch in batches:
             for r in range(batch.num_rows):
                 key, number, data, wanted = (batch.column(c)[r].as_py() for c in ("key", "id", "data", "hashes"))
@@ -357,9 +362,9 @@ def _cut_contexts(n_buckets: int):
                 rows.append((key, number))
                 held += len(at)
                 if held >= HELD_CONTEXTS:
-                    yield from flush(parts, places, rows)
-                    parts, places, rows, held = [], [], [], 0
-        yield from flush(parts, places, rows)
+                    yield from flush(parts, places, rows, block)
+                    parts, places, rows, held, block = [], [], [], 0, block + 1
+        yield from flush(parts, places, rows, block)
 
     return run
 

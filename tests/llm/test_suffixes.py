@@ -96,6 +96,13 @@ def test_small_blocks(spark, monkeypatch):
     check(spark, [(i, f"{i * 7919} " + PROSE[i % 11 : 40 + i % 60] + f" {i * 31}") for i in range(50)])
 
 
+def test_one_row_repeated_in_many_blocks(spark, monkeypatch):
+    """Blocks that begin with copies of one row stay apart."""
+    monkeypatch.setattr(suffixes, "HELD_CONTEXTS", 40)
+    others = [(1000 + i, f"{i * 7919} " + PROSE[i % 11 : 60 + i % 60] + f" {i * 31}") for i in range(40)]
+    check(spark, [*[(7, PROSE)] * 300, (3, PROSE[10:90]), *others])
+
+
 @needs_tables
 def test_query(spark):
     docs = sorted((r["doc_id"], r["text"].encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
