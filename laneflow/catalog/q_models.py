@@ -180,11 +180,14 @@ def m19(fx: Fixtures) -> DataFrame:
 
 @query("m20_score_models_long")
 def m20(fx: Fixtures) -> DataFrame:
+    """All segments of the feature table, and one that it lacks."""
     train, _ = _sets(fx)
     models = {
         name: E.log1p_target(name, feature_sets()[name[3:]], E.linear_regression(), scale=True).fit(train, TARGET) for name in ("lr_cyc", "lr_full")
     }
-    return V.score_models_long(models, log_features(fx.features), FEATURE_KEYS, ["S000001", "S000002", "S999999"])
+    features = materialise(fx.features)
+    segments = features.select("tmc_code").union(fx.spark.createDataFrame([("S999999",)], "tmc_code string")).distinct()
+    return V.score_models_long(models, log_features(features), FEATURE_KEYS, segments)
 
 
 @query("m23_model_leaderboard", """

@@ -139,16 +139,19 @@ def ols_inference(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 
 def score_models_long(
-    models: dict[str, TargetModel], df: DataFrame, keys: list[str], segments: list[str] | None = None
+    models: dict[str, TargetModel], df: DataFrame, keys: list[str], segments: list[str] | DataFrame | None = None
 ) -> DataFrame:
-    """Every model scored on all rows, as long ``(keys, model, prediction)``; listed but absent segments get NULL rows."""
+    """Every model scored on all rows, as long ``(keys, model, prediction)``; listed but absent segments get NULL rows.
+
+    ``segments`` is a list or a one-column table of distinct codes, named like the first key.
+    """
     scored, names = df, list(models)
     for name, model in models.items():
         scored = model.predict(scored, f"__m_{name}")
     long = scored.select(*keys, *[F.col(f"__m_{n}").alias(n) for n in names]).unpivot(keys, names, "model", PREDICTION)
     if segments is None:
         return long
-    order = df.sparkSession.createDataFrame([(s,) for s in segments], f"{keys[0]} string")
+    order = segments if isinstance(segments, DataFrame) else df.sparkSession.createDataFrame([(s,) for s in segments], f"{keys[0]} string")
     times = df.select(keys[1]).distinct()
     absent = order.join(df.select(keys[0]).distinct(), keys[0], "left_anti")
     # One row per absent segment and time: the segment list is an argument of fixed length.
