@@ -1,7 +1,6 @@
 """Spark ML operators and the model plans.
 
-Tree counts are smaller than the library defaults so that one check stays short;
-every fit reads its whole training set.
+Every fit has the library's own settings and reads its whole training set.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from laneflow.schemas import FEATURE_KEYS
 from laneflow.session import materialise
 
 TARGET = "tt_per_mile"
-SMALL_TREES = {"rf": {"numTrees": 10, "maxDepth": 6}, "gbrt": {"maxIter": 5}, "xgb": {"maxIter": 5}}
 
 
 def _sets(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
@@ -67,17 +65,17 @@ def m07(fx: Fixtures) -> DataFrame:
 
 @query("m08_fit_random_forest")
 def m08(fx: Fixtures) -> DataFrame:
-    return _one(fx, E.log1p_target("rf_full", feature_sets()["full"], E.random_forest(numTrees=10, maxDepth=8)))
+    return _one(fx, E.log1p_target("rf_full", feature_sets()["full"], E.random_forest()))
 
 
 @query("m09_fit_gbt")
 def m09(fx: Fixtures) -> DataFrame:
-    return _one(fx, E.log1p_target("gbrt_full", feature_sets()["full"], E.gradient_boosting(maxIter=5)))
+    return _one(fx, E.log1p_target("gbrt_full", feature_sets()["full"], E.gradient_boosting()))
 
 
 @query("m10_fit_boosted")
 def m10(fx: Fixtures) -> DataFrame:
-    return _one(fx, E.log1p_target("xgb_full", feature_sets()["full"], E.boosted_trees(maxIter=5)))
+    return _one(fx, E.log1p_target("xgb_full", feature_sets()["full"], E.boosted_trees()))
 
 
 @query("m11_model_grid", """
@@ -115,11 +113,11 @@ def m14(fx: Fixtures) -> DataFrame:
     train, _ = _sets(fx)
     features = feature_sets()["cyc_lags"]
     forest = V.tune(
-        lambda **p: E.log1p_target("rf", features, E.random_forest(numTrees=5, **p)), {"maxDepth": [3, 5]}, train, TARGET, FEATURE_KEYS, 3
+        lambda **p: E.log1p_target("rf", features, E.random_forest(**p)), {"maxDepth": [3, 5]}, train, TARGET, FEATURE_KEYS, 3
     )
     boosted = V.tune(
-        lambda **p: E.log1p_target("xgb", features, E.boosted_trees(maxIter=3, **p)), {"maxDepth": [3, 5], "stepSize": [0.05, 0.1]}, train, TARGET,
-        FEATURE_KEYS, 2, n_iter=2,
+        lambda **p: E.log1p_target("xgb", features, E.boosted_trees(**p)), {"maxDepth": [3, 5], "stepSize": [0.05, 0.1]}, train, TARGET,
+        FEATURE_KEYS, 3, n_iter=2,
     )
     both = forest.withColumn("search", F.lit("grid")).unionByName(boosted.withColumn("search", F.lit("random")))
     return both.select("search", F.to_json("params").alias("params"), "cv_rmse", "cv_rmse_std")
@@ -127,13 +125,13 @@ def m14(fx: Fixtures) -> DataFrame:
 
 @query("m15_regularisation_path")
 def m15(fx: Fixtures) -> DataFrame:
-    return E.regularisation_path(fx.readings, "speed", "travel_time_seconds", [1e-3, 1.0, 1000.0], degree=10, max_iter=50)
+    return E.regularisation_path(fx.readings, "speed", "travel_time_seconds", [10.0**i for i in range(-5, 4)], degree=10)
 
 
 @query("m16_feature_importance")
 def m16(fx: Fixtures) -> DataFrame:
     train, _ = _sets(fx)
-    forest = E.log1p_target("rf_full", feature_sets()["full"], E.random_forest(numTrees=5, maxDepth=6)).fit(train, TARGET)
+    forest = E.log1p_target("rf_full", feature_sets()["full"], E.random_forest()).fit(train, TARGET)
     linear = E.log1p_target("lr_full", feature_sets()["full"], E.linear_regression(), scale=True).fit(train, TARGET)
     return V.feature_importance(fx.spark, forest).unionByName(V.feature_importance(fx.spark, linear))
 
@@ -173,8 +171,8 @@ def m18_full(fx: Fixtures) -> DataFrame:
 def m19(fx: Fixtures) -> DataFrame:
     """Both models of the impact study scored on every row."""
     features = materialise(fx.features)
-    none = E.log1p_target("no_evt", NO_EVENT_FEATURES, E.linear_regression(), scale=True).fit(features.where("evt_total = 0"), TARGET)
-    planned = E.log1p_target("plnd_evt", PLANNED_FEATURES, E.linear_regression(), scale=True).fit(features, TARGET)
+    none = E.log1p_target("no_evt", NO_EVENT_FEATURES, E.boosted_trees()).fit(features.where("evt_total = 0"), TARGET)
+    planned = E.log1p_target("plnd_evt", PLANNED_FEATURES, E.boosted_trees()).fit(features, TARGET)
     return V.counterfactual_delay(none, planned, features).select(*FEATURE_KEYS, "diff", "residuals")
 
 
@@ -232,13 +230,13 @@ def m35(fx: Fixtures) -> DataFrame:
 
 @query("e2_train_and_compare")
 def e2(fx: Fixtures) -> DataFrame:
-    """Fast grid of all families, three-fold cross-validated and ranked."""
-    report = train_and_compare(materialise(fx.features), fast=True, folds=2, tree_params=SMALL_TREES)
+    """Grid of all families and feature sets, three-fold cross-validated and ranked."""
+    report = train_and_compare(materialise(fx.features), folds=3)
     return report.metrics.drop("fit_time")
 
 
 @query("e3_event_impact")
 def e3(fx: Fixtures) -> DataFrame:
     """Counterfactual delay of every row of the feature table."""
-    impact = event_impact(materialise(fx.features), tree_params={"maxIter": 5})
+    impact = event_impact(materialise(fx.features))
     return impact.select(*FEATURE_KEYS, "diff", "residuals", "event_type")

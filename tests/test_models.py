@@ -1,12 +1,16 @@
 """Registered model queries: whole tables and known answers."""
 
+import datetime as dt
 import glob
+import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 import compare
-from laneflow.catalog import QUERIES, registry
+from laneflow.catalog import QUERIES, q_models, registry
+from laneflow.models import estimators as E
 
 SF = f"{compare.TESTDATA}/sf0.001"
 
@@ -21,3 +25,65 @@ def test_every_segment_is_scored(spark, shared_fixtures):
     assert sorted(tuple(r) for r in rows.collect()) == [("lr_cyc", n, segments, n), ("lr_full", n, segments, n)]
     blank = scored.where("tmc_code = 'S999999'").agg(F.count("*"), F.count("prediction")).first()
     assert tuple(blank) == (2 * features.select("time_bin").distinct().count(), 0)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Travel time is 2 and one more for each of five marks, which no shallow tree tells at once; few rows are without an event."""
+    rng, start, rows = random.Random(1), dt.datetime(2024, 1, 1), []
+    marks = ["onramp", "offramp", "curve", "is_weekend", "evt_cat_planned"]
+    for i in range(600):
+        values = [rng.randrange(2) for _ in marks]
+        rows.append((f"s{i % 3}", start + dt.timedelta(hours=i // 3), 2.0 + sum(values), int(i % 10 > 0), *values))
+    features = spark.createDataFrame(rows, "tmc_code string, time_bin timestamp, tt_per_mile double, evt_total int, " + ", ".join(f"{m} int" for m in marks))
+    return SimpleNamespace(spark=spark, features=features.coalesce(1))
+
+
+def settings(regressor):
+    return type(regressor), {p.name: v for p, v in regressor.extractParamMap().items()}
+
+
+@pytest.mark.parametrize("name, wanted", [
+    ("m08", [E.random_forest]), ("m09", [E.gradient_boosting]), ("m10", [E.boosted_trees]), ("m16", [E.random_forest]), ("m19", [E.boosted_trees] * 2),
+])
+def test_fits_have_the_settings_of_the_library(planted, monkeypatch, name, wanted):
+    seen, fit = [], E.TargetModel.fit
+
+    def cheap(self, train, target):
+        seen.append(settings(self.regressor))
+        self.regressor = E.linear_regression()
+        return fit(self, train, target)
+
+    monkeypatch.setattr(E.TargetModel, "fit", cheap)
+    getattr(q_models, name)(planted)
+    assert seen[: len(wanted)] == [settings(make()) for make in wanted]
+
+
+def test_tuning_and_plans_have_the_settings_of_the_library(planted, monkeypatch):
+    class Done(Exception):
+        pass
+
+    points, calls = [], []
+
+    def tune(build, grid, *rest, **more):
+        points.append(build().regressor)
+        return planted.spark.createDataFrame([({}, 0.0, 0.0)], "params map<string,string>, cv_rmse double, cv_rmse_std double")
+
+    def plan(*args, **kwargs):
+        calls.append(kwargs)
+        raise Done
+
+    monkeypatch.setattr(q_models.V, "tune", tune)
+    q_models.m14(planted)
+    assert [settings(p) for p in points] == [settings(E.random_forest()), settings(E.boosted_trees())]
+    monkeypatch.setattr(q_models, "train_and_compare", plan)
+    monkeypatch.setattr(q_models, "event_impact", plan)
+    for query in (q_models.e2, q_models.e3):
+        with pytest.raises(Done):
+            query(planted)
+    assert calls == [{"folds": 3}, {}]
+
+
+def test_boosted_fit_reaches_a_known_answer(planted):
+    row = q_models.m09(planted).first()
+    assert row["model"] == "gbrt_full" and row["r2"] > 0.98
