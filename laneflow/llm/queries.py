@@ -7,11 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import bpe, hashing, jaccard, kdtree, language, packing, secrets, sharding, suffixes, warc
+from laneflow.llm import bpe, exact, hashing, jaccard, kdtree, language, packing, secrets, sharding, suffixes, warc
 from laneflow.llm.common import small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-# None of these can be stated in SQL: they rest on checksums, tokenizers, trained models, archives or automata.
+# Only what rests on no tokenizer, trained model, archive or automaton can be stated in SQL.
 ORACLES: dict[str, str] = {}
 
 
@@ -121,3 +121,18 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.length(utf8("text")).cast("long").alias("n_bytes"), removed.alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among all documents; the largest id of each group stays."""
+    digest = {"text_sha256": F.sha2(utf8("text"), 256)}
+    found = exact.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "largest", digest)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLES["op11_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
