@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import bpe, exact, hashing, jaccard, kdtree, language, packing, secrets, sharding, suffixes, warc
-from laneflow.llm.common import small_batches, table, utf8
+from laneflow.llm import bpe, exact, hashing, jaccard, kdtree, language, packing, secrets, sharding, suffixes, trie, warc
+from laneflow.llm.common import materialise, small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Only what rests on no tokenizer, trained model, archive or automaton can be stated in SQL.
@@ -136,3 +136,57 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun with the first turns of its group's first conversation."""
+    own = trie.conversation_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    own = materialise(own.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5), "turns")
+    heads = own.where("conv_id = base").select("base", F.slice("turns", 1, 8).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    begun = F.coalesce(F.slice("head", F.lit(1), h), F.array().cast(trie.TURNS))
+    rebuilt = own.join(heads, "base", "left").withColumn("turns", F.concat(begun, F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))))
+    return trie.prefix_trie(rebuilt)
+
+
+# The checksum is stated bit by bit; a node is known by the hashes of its turns in a row.
+ORACLES["op12_conversation_prefix_trie"] = """
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, coalesce(text, '') AS body, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS hash,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda acc, e: CASE WHEN e >= 0 THEN xor(acc, e) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, t.hash, t.body, row_number() OVER (PARTITION BY c.conv_id ORDER BY part, t.place) AS depth
+  FROM (SELECT conv_id, base AS origin, 0 AS part, 1 AS low, h AS high FROM convs
+        UNION ALL SELECT conv_id, conv_id, 1, h + 1, 9223372036854775807 FROM convs) c
+  JOIN turns t ON t.conv_id = c.origin AND t.place BETWEEN c.low AND c.high
+), paths AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS size FROM convs
+  UNION ALL
+  SELECT conv_id, depth, string_agg(hash, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING), octet_length(encode(body)) FROM rebuilt
+), lengths AS (SELECT conv_id, max(depth) AS ends FROM paths GROUP BY conv_id
+), nodes AS MATERIALIZED (
+  SELECT min(p.conv_id) AS conv_id, depth, path, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+         coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE depth = ends), '') AS members
+  FROM paths p JOIN lengths l ON p.conv_id = l.conv_id GROUP BY depth, path
+), children AS MATERIALIZED (
+  SELECT depth - 1 AS depth, left(path, -32) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), below AS MATERIALIZED (
+  SELECT p.depth, p.path, CAST(sum(n.own) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE c.path IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN children c ON n.depth = c.depth AND n.path = c.path
+  JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY 1, 2
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       b.n_leaves, b.saved_tokens, sha256(n.members) AS ends_sha256
+FROM nodes n JOIN below b ON n.depth = b.depth AND n.path = b.path
+LEFT JOIN children c ON n.depth = c.depth AND n.path = c.path
+LEFT JOIN nodes above ON above.depth = n.depth - 1 AND above.path = left(n.path, -32) AND n.depth > 0
+"""
