@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from laneflow.llm import bpe, exact, hashing, jaccard, kdtree, language, packing, secrets, sharding, suffixes, trie, warc
+from laneflow.llm import alignment, bpe, exact, hashing, jaccard, kdtree, language, packing, secrets, sharding, suffixes, trie, warc
 from laneflow.llm.common import materialise, small_batches, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,16 @@ FROM nodes n JOIN below b ON n.depth = b.depth AND n.path = b.path
 LEFT JOIN children c ON n.depth = c.depth AND n.path = c.path
 LEFT JOIN nodes above ON above.depth = n.depth - 1 AND above.path = left(n.path, -32) AND n.depth > 0
 """
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under two tokenizers: groups of tokens that end together, and how usual their links are."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        pieces = file.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = alignment.build_index(docs, "doc_id", "text", bpe.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), pieces)
+    scores = materialise(index.pair_scores(), "pair-scores")
+    return index.document_scores(scores).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
