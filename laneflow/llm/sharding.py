@@ -58,8 +58,9 @@ def number_slots(df: DataFrame, shard: str = "shard", order: str | None = None,
     often is no hot key.  Distinct rows are spread over (shard, block) windows
     by their hash; a block's first slot is the running sum of the counts of the
     blocks before it.  Within a block rows stand in the order of ``order``, then
-    of all columns.
+    of all columns.  An existing column ``name`` is replaced.
     """
+    df = df.drop(name)
     columns = df.columns
     block, copies, before, first, run = fresh(df, "__block", "__copies", "__before", "__first", "__run")
     quoted = [F.col(f"`{c}`") for c in columns]
