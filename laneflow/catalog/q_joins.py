@@ -13,12 +13,13 @@ from laneflow.operators import filters, grid, intervals, joins, spatial
 
 @query("j01_nearest_segment_join", f"""
     WITH windowed_source AS (SELECT * FROM utc_events), searched AS ({SEARCHED}), scale AS ({SCALE}), nearest AS ({NEAREST})
-    SELECT ID, found AS near_tmc, round(sqrt(d2), 3) AS near_distance FROM nearest""", "utc_events segments")
+    SELECT ID, found AS near_tmc, round(sqrt(d2), 3) AS near_distance, round(qx, 1) AS near_x, round(qy, 1) AS near_y, round(t, 6) AS near_t FROM nearest""", "utc_events segments")
 def j01(fx: Fixtures) -> DataFrame:
     events = filters.infer_direction(fx.utc_events.drop("near_tmc"))
     matched = spatial.nearest_segment_join(events, fx.segments)
-    # Millimetres: the projection scale comes from a mean, whose last digits depend on summation order.
-    return matched.select("ID", "near_tmc", F.round("near_distance", 3).alias("near_distance"))
+    # Coarse digits: the projection scale comes from a mean, whose last digits depend on summation order.
+    digits = {"near_distance": 3, "near_x": 1, "near_y": 1, "near_t": 6}
+    return matched.select("ID", "near_tmc", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 @query("j02_interval_overlap_counts", "SELECT tmc_code, time_bin, evt_cat_unplanned, evt_cat_planned FROM event_counts", "event_counts")

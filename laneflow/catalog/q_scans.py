@@ -156,9 +156,9 @@ def s12(fx: Fixtures) -> DataFrame:
 
 NEAREST = """
     SELECT * FROM (
-        SELECT e.*, near.tmc AS found, near.d2 AS d2, row_number() OVER (PARTITION BY e.ID ORDER BY near.d2, near.tmc) AS rn
+        SELECT e.*, near.tmc AS found, near.d2 AS d2, near.qx, near.qy, near.t, row_number() OVER (PARTITION BY e.ID ORDER BY near.d2, near.tmc) AS rn
         FROM searched e LEFT JOIN (
-            SELECT ID, tmc, (px - (ax + t * vx)) * (px - (ax + t * vx)) + (py - (ay + t * vy)) * (py - (ay + t * vy)) AS d2 FROM (
+            SELECT ID, tmc, t, ax + t * vx AS qx, ay + t * vy AS qy, (px - (ax + t * vx)) * (px - (ax + t * vx)) + (py - (ay + t * vy)) * (py - (ay + t * vy)) AS d2 FROM (
                 SELECT *, greatest(0.0, least(1.0, ((px - ax) * vx + (py - ay) * vy) / CASE WHEN vx * vx + vy * vy = 0 THEN 1e-12 ELSE vx * vx + vy * vy END)) AS t FROM (
                     SELECT e.ID, s.tmc, e.Longitude * k AS px, e.Latitude * 110540.0 AS py, s.start_longitude * k AS ax, s.start_latitude * 110540.0 AS ay,
                            s.end_longitude * k - s.start_longitude * k AS vx, s.end_latitude * 110540.0 - s.start_latitude * 110540.0 AS vy

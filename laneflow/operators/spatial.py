@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from laneflow.functions.columns import point_segment_distance
 from laneflow.functions.fixed_values import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
+from laneflow.operators.quadtree import QuadTree
 from laneflow.session import materialise
 
 DIRECTION_NAMES = {"east": "EASTBOUND", "west": "WESTBOUND", "north": "NORTHBOUND", "south": "SOUTHBOUND"}
 ANY = "any"
+# Segments per direction from which the quadtree's shape is drawn.
+TREE_SAMPLE = 10_000
 
 
 def nearest_segment_join(
@@ -29,104 +35,84 @@ def nearest_segment_join(
     direction no segment has, are matched against all segments; events without
     coordinates stay unmatched; ties go to the lowest segment code.
 
-    The search is exact and never compares every event with every segment.  Cells
-    form a pyramid of doubling sizes, the finest a quarter as wide as all but the
-    longest segments are long.  A segment registers from the level on whose cells
-    fit its own length, so one very long segment, or one far-off coordinate, adds
-    levels but widens no cell.  On each level it registers in the cells along it and
-    two rings around them, which covers every cell within one cell of it.  A point
-    looks up the finest level at which its cell has segments, and the nearest of
-    those gives an upper bound on its distance.  On the first level whose cells are
-    at least that bound wide, all segments that could be nearer are registered in
-    the point's cell, but for longer ones that begin on coarser levels: those are
-    looked up on the level each begins at.  Only pairs within the bound stay.  The
-    top level covers the whole area.
-
-    Equal points are searched once; dense cells are left to Spark's splitting of
-    skewed joins.
+    The search is exact and never compares every event with every segment.  A
+    quadtree per direction splits where segments are dense; a segment is written
+    once per leaf that it crosses.  A point is compared with the segments of one
+    leaf, which gives a bound on its distance; only where the edge of another leaf
+    with segments is nearer than that bound does a second join look there too.
+    The tree's shape comes from a bounded sample (``TREE_SAMPLE`` segments per
+    direction) and decides nothing but how many pairs are compared.
+
+    Equal points are searched once, equal segments compared once; crowded leaves
+    are left to Spark's splitting of skewed joins.
     """
+    search = F.lower(F.col(direction)).alias("search")
     located = events.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    # Driver scalars only: projection latitude, extents, and which of the four directions exist.
-    point_stats = located.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(lat).alias("lat0"), F.min(lat).alias("y0"), F.max(lat).alias("y1"), F.min(lon).alias("x0"),
-        F.max(lon).alias("x1"),
-    ).first()
+    places = located.groupBy(F.col(lat).alias("__lat"), F.col(lon).alias("__lon"), search).agg(F.count(F.lit(1)).alias("n"))
+    places = materialise(places, "places")
+    # Driver scalars only: the latitude of the projection, and below the extents of at most five directions.
+    lat0 = places.agg(F.sum(F.col("__lat") * F.col("n")) / F.sum("n")).first()[0]
+    per_lon = METRES_PER_DEGREE_LON * math.cos(math.radians(lat0 or 0.0))
+    x, y = lambda c: F.col(c) * F.lit(per_lon), lambda c: F.col(c) * F.lit(METRES_PER_DEGREE_LAT)
     upper = F.upper(F.col("direction"))
-    seg_stats = segments.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.least("start_latitude", "end_latitude")).alias("y0"),
-        F.max(F.greatest("start_latitude", "end_latitude")).alias("y1"),
-        F.min(F.least("start_longitude", "end_longitude")).alias("x0"),
-        F.max(F.greatest("start_longitude", "end_longitude")).alias("x1"),
-        F.percentile_approx(F.abs(F.col("start_latitude") - F.col("end_latitude")), 0.95).alias("usual_y"),
-        F.percentile_approx(F.abs(F.col("start_longitude") - F.col("end_longitude")), 0.95).alias("usual_x"),
-        *[F.coalesce(F.bool_or(upper.contains(n)), F.lit(False)).alias(d) for d, n in DIRECTION_NAMES.items()],
-    ).first()
-    if point_stats["lat0"] is None or seg_stats["x0"] is None:
+    classes = F.array_compact(F.array(F.lit(ANY), *[F.when(upper.contains(n), F.lit(d)) for d, n in DIRECTION_NAMES.items()]))
+    ends = ["ax", "ay", "bx", "by"]
+    lines = segments.select(
+        "tmc", x("start_longitude").alias("ax"), y("start_latitude").alias("ay"), x("end_longitude").alias("bx"), y("end_latitude").alias("by"),
+        F.explode(classes).alias("cls"),
+    ).dropna(subset=ends)
+    lines = materialise(lines.groupBy("cls", *ends).agg(F.min("tmc").alias("tmc")), "lines")
+    low = [F.min(F.least("ax", "bx")), F.min(F.least("ay", "by"))]
+    high = [F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by"))]
+    extents = {r["cls"]: r for r in lines.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.array(*low, *high).alias("extent")).collect()}
+    if lat0 is None or not extents:
         return events.select(
             "*", F.lit(None).cast("string").alias("near_tmc"),
             *[F.lit(None).cast("double").alias(c) for c in ("near_distance", "near_x", "near_y", "near_t")],
         )
-    lat0 = float(point_stats["lat0"])
-    per_lon = METRES_PER_DEGREE_LON * math.cos(math.radians(lat0))
-    width = (max(point_stats["x1"], seg_stats["x1"]) - min(point_stats["x0"], seg_stats["x0"])) * per_lon
-    height = (max(point_stats["y1"], seg_stats["y1"]) - min(point_stats["y0"], seg_stats["y0"])) * METRES_PER_DEGREE_LAT
-    span = max(width, height, 1.0)
-    usual = max(float(seg_stats["usual_x"]) * per_lon, float(seg_stats["usual_y"]) * METRES_PER_DEGREE_LAT)
-    base = max(usual / 4, span / 2**16, 1e-3)
-    top = max(0, math.ceil(math.log2(span / base))) + 1
-
-    def project(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-        columns = {}
-        for name, (la, lo) in pairs.items():
-            columns[f"{name}x"] = F.col(lo) * F.lit(per_lon)
-            columns[f"{name}y"] = F.col(la) * F.lit(METRES_PER_DEGREE_LAT)
-        return df.withColumns(columns)
-
-    level = F.col("level")
-    size = F.lit(base) * F.pow(F.lit(2.0), level)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
-
-    def cell(value: Column) -> Column:
-        return F.floor(value / size).cast("bigint")
-
-    # Segments and the cells near them.
-    seg = project(segments, {"a": ("start_latitude", "start_longitude"), "b": ("end_latitude", "end_longitude")})
-    seg = seg.select("tmc", "direction", "ax", "ay", "bx", "by").dropna(subset=["ax", "ay", "bx", "by"])
-    length = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
-    first = F.greatest(F.lit(0), F.least(F.lit(top), F.ceil(F.log2(F.greatest(length, F.lit(base)) / F.lit(4 * base))).cast("int")))
-    walked = seg.select("tmc", "ax", "ay", "bx", "by", first.alias("first"))
-    walked = walked.select("*", F.explode(F.sequence(F.col("first"), F.lit(top))).alias("level"))
-    walked = walked.withColumn("steps", F.ceil(length * F.lit(math.sqrt(2.0)) / size) + 1)
-    walked = walked.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("steps"))))
-    walked = walked.withColumn("t", F.col("step") / F.col("steps"))
-    near = walked.select(
-        "tmc", "level", (level == F.col("first")).alias("begins"), cell(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("t")).alias("sx"),
-        cell(F.col("ay") + (F.col("by") - F.col("ay")) * F.col("t")).alias("sy"),
-    ).distinct()
-    ring = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    near = near.withColumn("rx", ring).withColumn("ry", ring).select(
-        "tmc", "level", "begins", (F.col("sx") + F.col("rx")).alias("cx"), (F.col("sy") + F.col("ry")).alias("cy")
-    ).distinct()
-    known = [d for d in DIRECTION_NAMES if seg_stats[d]]
-    classes = F.array_compact(F.array(
-        F.lit(ANY), *[F.when(upper.contains(DIRECTION_NAMES[d]), F.lit(d)) for d in known]
-    ))
-    registered = materialise(near.join(seg, "tmc").select("*", F.explode(classes).alias("cls")).drop("direction"), "segment-cells")
-    # At most one number per level.
-    begin_levels = sorted(r["level"] for r in registered.where("begins").select("level").distinct().collect())
-
-    # Distinct points of each direction class.
-    search = F.lower(F.col(direction))
-    cls = F.when(search.isin(known), search).otherwise(F.lit(ANY)) if known else F.lit(ANY)
-    points = located.select(F.col(lat).alias("__lat"), F.col(lon).alias("__lon"), cls.alias("cls")).distinct()
-    points = project(points, {"p": ("__lat", "__lon")})
-    where = ["cls", "level", "cx", "cy"]
+
+    share = {c: min(1.0, TREE_SAMPLE / r["n"]) for c, r in extents.items()}
+    wanted = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])
+    drawn = F.pmod(F.xxhash64("tmc", *ends), F.lit(1 << 20)) / F.lit(float(1 << 20)) < wanted[F.col("cls")]
+    sample = lines.where(drawn).select("cls", *ends).toPandas()
+    trees = {
+        c: QuadTree.grown(tuple(r["extent"]), sample.loc[sample["cls"] == c, ends].to_numpy(float), 1 / share[c]) for c, r in extents.items()
+    }
+
+    def by_class(batch: pa.RecordBatch, work) -> pa.RecordBatch:
+        """``work(tree, part)`` gives rows of the part and a leaf for each; all columns of these rows, and the leaf."""
+        classes = np.array(batch.column("cls").to_pylist(), dtype=object)
+        rows, leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for name, tree in trees.items():
+            part = np.flatnonzero(classes == name)
+            if len(part):
+                chosen, leaf = work(tree, batch.take(pa.array(part)))
+                rows.append(part[chosen])
+                leaves.append(leaf)
+        out = batch.take(pa.array(np.concatenate(rows)))
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(leaves))], [*out.schema.names, "leaf"])
+
+    def numbers(batch: pa.RecordBatch, *names: str) -> np.ndarray:
+        return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+
+    def with_leaves(df: DataFrame, work) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield by_class(batch, work)
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("leaf", T.LongType())]))
+
+    registered = materialise(with_leaves(lines, lambda tree, part: tree.crossed(numbers(part, *ends))), "segment-leaves")
+    # At most MAX_LEAVES per direction.
+    held = registered.select("cls", "leaf").distinct().toPandas()
+    for name, tree in trees.items():
+        tree.fill(held.loc[held["cls"] == name, "leaf"].to_numpy())
+
+    known = [d for d in DIRECTION_NAMES if d in extents]
+    cls = F.when(F.col("search").isin(known), F.col("search")).otherwise(F.lit(ANY)) if known else F.lit(ANY)
     key = ["cls", "__lat", "__lon"]
     point = [*key, "px", "py"]
-
-    def in_cells(df: DataFrame) -> DataFrame:
-        return df.withColumns({"cx": cell(F.col("px")), "cy": cell(F.col("py"))})
+    points = places.select(cls.alias("cls"), "__lat", "__lon").distinct().withColumns({"px": x("__lon"), "py": y("__lat")})
 
     vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     len2 = vx * vx + vy * vy
@@ -135,27 +121,29 @@ def nearest_segment_join(
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     qx, qy = F.col("ax") + F.col("t") * vx, F.col("ay") + F.col("t") * vy
     dx, dy = F.col("px") - F.col("qx"), F.col("py") - F.col("qy")
+    answer = F.struct("dist2", "tmc", F.col("qx").alias("x"), F.col("qy").alias("y"), "t")
+
+    def nearest(df: DataFrame, *keep: str) -> DataFrame:
+        pairs = df.join(registered, ["cls", "leaf"]).withColumn("t", t).withColumns({"qx": qx, "qy": qy}).withColumn("dist2", dx * dx + dy * dy)
+        return pairs.groupBy(*keep).agg(F.min(answer).alias("best"))
+
+    placed = with_leaves(points, lambda tree, part: (np.arange(part.num_rows), tree.home(numbers(part, "px", "py"))))
+    first = materialise(nearest(placed, *point, "leaf").withColumn("bound", F.col("best.dist2")), "bounds")
+
+    def beyond(tree: QuadTree, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        rows, leaves = tree.within(numbers(part, "px", "py"), numbers(part, "bound")[:, 0])
+        other = leaves != numbers(part, "home")[rows, 0]
+        return rows[other], leaves[other]
 
-    def measured(df: DataFrame) -> DataFrame:
-        pairs = df.join(registered, where).withColumn("t", t)
-        return pairs.withColumns({"qx": qx, "qy": qy}).withColumn("dist2", dx * dx + dy * dy)
-
-    occupied = registered.select(*where).distinct()
-    finest = in_cells(points.select("*", levels)).join(occupied, where, "left_semi").groupBy(*point).agg(F.min("level").alias("level"))
-    bounded = measured(in_cells(finest)).groupBy(*point, "level").agg(F.min("dist2").alias("bound"))
-    bounded = materialise(bounded, "bounds")
-    needed = F.ceil(F.log2(F.greatest(F.sqrt("bound"), F.lit(1e-9)) / F.lit(base))).cast("int")
-    final = bounded.withColumn("found", F.least(F.greatest(level, needed), F.lit(top)))
-    coarser = F.filter(F.array(*map(F.lit, begin_levels)), lambda x: x > F.col("found"))
-    final = final.withColumn("level", F.explode(F.concat(F.array("found"), coarser)))
-    within = measured(in_cells(final)).where(((level == F.col("found")) | F.col("begins")) & (F.col("dist2") <= F.col("bound")))
-    best = within.groupBy(*key).agg(F.min(F.struct("dist2", "tmc", F.col("qx").alias("x"), F.col("qy").alias("y"), "t")).alias("best"))
+    further = nearest(with_leaves(first.select(*point, "bound", F.col("leaf").alias("home")), beyond), *key)
+    best = first.select(*key, "best").unionByName(further).groupBy(*key).agg(F.min("best").alias("best"))
     matches = best.select(
         F.col("cls").alias("__cls"), F.col("__lat").alias("__mlat"), F.col("__lon").alias("__mlon"),
         F.col("best.tmc").alias("near_tmc"), F.sqrt("best.dist2").alias("near_distance"),
         F.col("best.x").alias("near_x"), F.col("best.y").alias("near_y"), F.col("best.t").alias("near_t"),
     )
-    keyed = events.withColumn("__search", cls)
+    searched = F.lower(F.col(direction))
+    keyed = events.withColumn("__search", F.when(searched.isin(known), searched).otherwise(F.lit(ANY)) if known else F.lit(ANY))
     joined = keyed.join(
         matches,
         (F.col("__search") == F.col("__cls")) & (F.col(lat) == F.col("__mlat")) & (F.col(lon) == F.col("__mlon")),

@@ -12,7 +12,7 @@ from laneflow import schemas
 from laneflow.functions import columns as C
 from laneflow.functions.fixed_values import EVENT_CATEGORIES, IMPACT_CLASSES, PLANNED_CLASSES, SEGMENT_ORDER, SEGMENT_TAG_ROWS
 from laneflow.functions.holidays import us_holidays
-from laneflow.operators import aggregates, filters, grid, intervals, ranking, sampling, spatial, stats, topk, windows
+from laneflow.operators import aggregates, filters, grid, intervals, quadtree, ranking, sampling, spatial, stats, topk, windows
 from laneflow.operators.ordering import POS, with_position
 
 
@@ -127,20 +127,66 @@ def test_nearest_segment_against_brute_force(spark, seed, length, spread, outlie
     assert {r["ID"]: r["near_tmc"] for r in got.collect()} == brute_nearest(events, segments)
 
 
-def test_one_bad_coordinate_does_not_pair_everything(spark, monkeypatch):
-    """The cells stay as fine as the usual segment is short: compared pairs grow with the events, not with events x segments."""
-    rng = random.Random(9)
-    place = lambda: (33 + rng.uniform(0, 1), -112 + rng.uniform(0, 1))
-    segments = [(f"s{i}", "EASTBOUND", la, lo, la + 0.002, lo + 0.002) for i, (la, lo) in enumerate(place() for _ in range(600))]
-    segments.append(("far", "EASTBOUND", 33.0, -112.0, 0.0, 0.0))
-    written = []
-    real = spatial.materialise
-    monkeypatch.setattr(spatial, "materialise", lambda df, name: written.append((name, real(df, name))) or written[-1][1])
-    events = [(i, *place(), "east") for i in range(200)]
-    spatial.nearest_segment_join(spark.createDataFrame(events, EVENT), spark.createDataFrame(segments, SEGMENT)).count()
-    cells = dict(written)["segment-cells"]
-    finest = cells.where("level = 0").groupBy("cls", "cx", "cy").count().agg({"count": "max"}).first()[0]
-    assert finest < 30
+def test_many_leaves_against_brute_force(spark, monkeypatch):
+    """Small leaves, from a sample of a tenth: the shape of the tree does not change the answer."""
+    monkeypatch.setattr(quadtree, "CAPACITY", 2)
+    monkeypatch.setattr(spatial, "TREE_SAMPLE", 30)
+    rng = random.Random(12)
+    place = lambda: (33 + rng.gauss(0, 0.1), -112 + rng.gauss(0, 0.1))
+    segments = [(f"s{i:03d}", rng.choice(["EASTBOUND", "WESTBOUND"]), *place(), *place()) for i in range(150)]
+    segments += [(f"t{i:03d}", "EASTBOUND", la, lo, la + 0.001, lo) for i, (la, lo) in enumerate(place() for _ in range(150))]
+    events = [(i, *place(), rng.choice(["east", "west", "north"])) for i in range(300)]
+    got = spatial.nearest_segment_join(spark.createDataFrame(events, EVENT), spark.createDataFrame(segments, SEGMENT))
+    assert {r["ID"]: r["near_tmc"] for r in got.collect()} == brute_nearest(events, segments)
+
+
+def compared_pairs(segments, points):
+    """Pairs that a search would compare: a point's first leaf, and the leaves nearer than what it finds there."""
+    extent = (segments[:, ::2].min(), segments[:, 1::2].min(), segments[:, ::2].max(), segments[:, 1::2].max())
+    tree = quadtree.QuadTree.grown(extent, segments)
+    owner, leaves = tree.crossed(segments)
+    tree.fill(np.unique(leaves))
+    sizes = np.bincount(leaves, minlength=len(tree.child))
+    home = tree.home(points)
+    bound = np.empty(len(points))
+    for i, (px, py) in enumerate(points):
+        ax, ay, bx, by = segments[owner[leaves == home[i]]].T
+        n = (bx - ax) ** 2 + (by - ay) ** 2
+        t = np.clip(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / np.where(n == 0, 1e-12, n), 0, 1)
+        bound[i] = ((px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by - ay)) ** 2).min()
+    rows, near = tree.within(points, bound)
+    other = near != home[rows]
+    return sizes[home] + np.bincount(rows[other], sizes[near[other]], len(points)), len(leaves)
+
+
+def test_one_bad_coordinate_does_not_pair_everything():
+    """Compared pairs grow with the events, not with events x segments."""
+    rng = np.random.default_rng(9)
+    at = rng.uniform(0, 100_000, (3000, 2))
+    segments = np.vstack([np.hstack([at, at + 200]), [[0, 0, 1e7, -4e6]]])
+    pairs, registered = compared_pairs(segments, rng.uniform(0, 100_000, (400, 2)))
+    assert pairs.mean() < 60 and registered < 12 * len(segments)
+
+
+def test_crowded_and_empty_areas():
+    """One dense town, one far-off road, points in both, between them and outside of all."""
+    rng = np.random.default_rng(4)
+    town = rng.uniform(0, 2_000, (4000, 2))
+    segments = np.vstack([np.hstack([town, town + rng.uniform(-50, 50, town.shape)]), [[400_000, 300_000, 400_500, 300_000]]])
+    inside, empty = rng.uniform(0, 2_000, (200, 2)), rng.uniform(3_000, 390_000, (100, 2))
+    outside = rng.uniform(-900_000, -100_000, (100, 2))
+    for points in (inside, empty, outside):
+        pairs, _ = compared_pairs(segments, points)
+        assert pairs.mean() < 150 and pairs.max() < 1000
+
+
+def test_tree_is_bounded(monkeypatch):
+    """Segments on top of each other, as often as one likes, and a tree out of leaves."""
+    monkeypatch.setattr(quadtree, "MAX_LEAVES", 64)
+    segments = np.tile([[0.0, 0.0, 1.0, 1.0]], (500, 1))
+    tree = quadtree.QuadTree.grown((0.0, 0.0, 1.0, 1.0), segments)
+    assert (tree.child < 0).sum() <= 64
+    assert set(tree.crossed(segments)[0]) == set(range(500))
 
 
 def test_nearest_tie_and_degenerate(spark):
