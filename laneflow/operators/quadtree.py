@@ -117,11 +117,14 @@ class QuadTree:
         home[rows[order][first]] = leaves[order][first]
         return home
 
-    def within(self, points: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(point, leaf) of all leaves with segments that are no farther than the point's squared radius."""
+    def within(self, points: np.ndarray, radius2: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, leaf) of each point's home, and of all leaves with segments that are no farther than its squared radius."""
         reach = radius2 * (1 + SLACK) + SLACK
 
         def keep(rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
             return self.filled[nodes] & (self._distances(points[rows], nodes)[0] <= reach[rows])
 
-        return self._descend(len(points), keep)
+        rows, leaves = self._descend(len(points), keep)
+        # The segment found at home may have its nearest place elsewhere, and the home leaf then lie beyond it.
+        other = leaves != home[rows]
+        return np.concatenate([np.arange(len(points)), rows[other]]), np.concatenate([home, leaves[other]])

@@ -112,7 +112,9 @@ def nearest_segment_join(
     cls = F.when(F.col("search").isin(known), F.col("search")).otherwise(F.lit(ANY)) if known else F.lit(ANY)
     key = ["cls", "__lat", "__lon"]
     point = [*key, "px", "py"]
-    points = places.select(cls.alias("cls"), "__lat", "__lon").distinct().withColumns({"px": x("__lon"), "py": y("__lat")})
+    # A point's bytes say little about its work, so the number of partitions is stated and AQE joins none of them.
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = places.select(cls.alias("cls"), "__lat", "__lon").repartition(parts, *key).distinct().withColumns({"px": x("__lon"), "py": y("__lat")})
 
     vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     len2 = vx * vx + vy * vy
@@ -121,22 +123,16 @@ def nearest_segment_join(
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     qx, qy = F.col("ax") + F.col("t") * vx, F.col("ay") + F.col("t") * vy
     dx, dy = F.col("px") - F.col("qx"), F.col("py") - F.col("qy")
-    answer = F.struct("dist2", "tmc", F.col("qx").alias("x"), F.col("qy").alias("y"), "t")
-
-    def nearest(df: DataFrame, *keep: str) -> DataFrame:
-        pairs = df.join(registered, ["cls", "leaf"]).withColumn("t", t).withColumns({"qx": qx, "qy": qy}).withColumn("dist2", dx * dx + dy * dy)
-        return pairs.groupBy(*keep).agg(F.min(answer).alias("best"))
+    def measured(df: DataFrame) -> DataFrame:
+        pairs = df.join(registered, ["cls", "leaf"]).withColumn("t", t)
+        return pairs.withColumns({"qx": qx, "qy": qy}).withColumn("dist2", dx * dx + dy * dy)
 
+    # The bound is a plain number, so that its minimum needs no sorting; only pairs within it are ranked.
     placed = with_leaves(points, lambda tree, part: (np.arange(part.num_rows), tree.home(numbers(part, "px", "py"))))
-    first = materialise(nearest(placed, *point, "leaf").withColumn("bound", F.col("best.dist2")), "bounds")
-
-    def beyond(tree: QuadTree, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        rows, leaves = tree.within(numbers(part, "px", "py"), numbers(part, "bound")[:, 0])
-        other = leaves != numbers(part, "home")[rows, 0]
-        return rows[other], leaves[other]
-
-    further = nearest(with_leaves(first.select(*point, "bound", F.col("leaf").alias("home")), beyond), *key)
-    best = first.select(*key, "best").unionByName(further).groupBy(*key).agg(F.min("best").alias("best"))
+    bounds = materialise(measured(placed).groupBy(*point, "leaf").agg(F.min("dist2").alias("bound")).withColumnRenamed("leaf", "home"), "bounds")
+    reached = with_leaves(bounds, lambda tree, part: tree.within(numbers(part, "px", "py"), numbers(part, "bound")[:, 0], numbers(part, "home")[:, 0]))
+    within = measured(reached).where(F.col("dist2") <= F.col("bound"))
+    best = within.groupBy(*key).agg(F.min(F.struct("dist2", "tmc", F.col("qx").alias("x"), F.col("qy").alias("y"), "t")).alias("best"))
     matches = best.select(
         F.col("cls").alias("__cls"), F.col("__lat").alias("__mlat"), F.col("__lon").alias("__mlon"),
         F.col("best.tmc").alias("near_tmc"), F.sqrt("best.dist2").alias("near_distance"),

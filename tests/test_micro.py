@@ -154,9 +154,9 @@ def compared_pairs(segments, points):
         n = (bx - ax) ** 2 + (by - ay) ** 2
         t = np.clip(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / np.where(n == 0, 1e-12, n), 0, 1)
         bound[i] = ((px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by - ay)) ** 2).min()
-    rows, near = tree.within(points, bound)
-    other = near != home[rows]
-    return sizes[home] + np.bincount(rows[other], sizes[near[other]], len(points)), len(leaves)
+    rows, near = tree.within(points, bound, home)
+    assert len(set(zip(rows, near))) == len(rows)
+    return np.bincount(rows, sizes[near], len(points)), len(leaves)
 
 
 def test_one_bad_coordinate_does_not_pair_everything():
