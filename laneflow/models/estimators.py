@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
@@ -12,8 +12,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, functions as F
 
 from laneflow.models.features import feature_sets
+from laneflow.session import materialise
 
 LABEL, PREDICTION = "__label", "prediction"
+# Rows of a training set in one partition, at least: every tree level is a job over all of them.
+PARTITION_ROWS = 20_000
 
 
 def scale_features(features: list[str], center: bool = False, out: str = "features") -> list:
@@ -39,7 +42,8 @@ def lasso(alpha: float, **params) -> LinearRegression:
 
 def random_forest(**params) -> RandomForestRegressor:
     settings = {
-        "numTrees": 300, "maxDepth": 12, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": 42, **params
+        "numTrees": 300, "maxDepth": 12, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": 42,
+        "cacheNodeIds": True, "maxMemoryInMB": 1024, **params,
     }
     return RandomForestRegressor(featuresCol="features", labelCol=LABEL, predictionCol="__fit", **settings)
 
@@ -74,14 +78,38 @@ class TargetModel:
         ready = df.select("*", *[F.lit(0.0).alias(c) for c in absent])
         return ready.withColumns({f"__in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features})
 
-    def fit(self, train: DataFrame, target: str) -> TargetModel:
+    @property
+    def _assembler(self) -> VectorAssembler:
+        return VectorAssembler(inputCols=[f"__in_{c}" for c in self.features], outputCol="__raw" if self.scale else "features")
+
+    def design(self, train: DataFrame, target: str, *keep: str) -> DataFrame:
+        """The assembled inputs, the label and the columns ``keep``: what fits over the same features can share."""
         label = F.log1p(F.col(target)) if self.log_target else F.col(target)
-        columns = [f"__in_{c}" for c in self.features]
-        ready = self._inputs(train).select(*columns, label.cast("double").alias(LABEL)).where(F.col(LABEL).isNotNull())
-        stages = scale_features(columns) if self.scale else [VectorAssembler(inputCols=columns, outputCol="features")]
-        self.fitted = Pipeline(stages=[*stages, self.regressor]).fit(ready)
+        ready = self._inputs(train).withColumn(LABEL, label.cast("double"))
+        return self._assembler.transform(ready).select(self._assembler.getOutputCol(), LABEL, *keep)
+
+    def fit_design(self, design: DataFrame) -> TargetModel:
+        rows = design.where(F.col(LABEL).isNotNull())
+        stages = [self._assembler]
+        if self.scale:
+            stages.append(StandardScaler(inputCol="__raw", outputCol="features", withMean=False, withStd=True).fit(rows))
+            rows = stages[-1].transform(rows)
+        self.fitted = PipelineModel([*stages, self.regressor.fit(rows)])
         return self
 
+    def predict_design(self, design: DataFrame, out: str = PREDICTION) -> DataFrame:
+        scored = design
+        for stage in self.fitted.stages[1:]:
+            scored = stage.transform(scored)
+        return scored.withColumn(out, F.expm1("__fit") if self.log_target else F.col("__fit"))
+
+    def fresh(self) -> TargetModel:
+        """The same model, not fitted, for a fit beside others."""
+        return replace(self, regressor=self.regressor.copy(), fitted=None)
+
+    def fit(self, train: DataFrame, target: str) -> TargetModel:
+        return self.fit_design(shared_design(self, train, target))
+
     def predict(self, df: DataFrame, out: str = PREDICTION) -> DataFrame:
         """Score every row; the whole table in one pass, whatever the number of segments."""
         scored = self.fitted.transform(self._inputs(df))
@@ -92,6 +120,12 @@ class TargetModel:
         )
 
 
+def shared_design(model: TargetModel, train: DataFrame, target: str, *keep: str) -> DataFrame:
+    """The design of ``model`` written once, in as few partitions as its rows need."""
+    written = materialise(model.design(train, target, *keep), "design")
+    return written.coalesce(max(1, written.count() // PARTITION_ROWS))
+
+
 def log1p_target(name: str, features: list[str], regressor: Estimator, scale: bool = False) -> TargetModel:
     """Model fitted on ``log1p(y)`` whose predictions come back through ``expm1``."""
     return TargetModel(name, features, regressor, scale, log_target=True)

@@ -5,12 +5,16 @@ from __future__ import annotations
 import itertools
 import random
 import time
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from laneflow.functions.fixed_values import FULL_MODEL_LABELS
-from laneflow.models.estimators import PREDICTION, TargetModel
+from laneflow.models.estimators import PREDICTION, TargetModel, shared_design
 from laneflow.models.features import GROUPS
 from laneflow.operators.sampling import hash_fraction
 from laneflow.operators.stats import regression_metrics, rmse, t_two_sided_p
@@ -23,42 +27,85 @@ def with_fold(df: DataFrame, keys: list[str], folds: int, seed: int = 42) -> Dat
     return df.withColumn("fold", F.floor(hash_fraction(keys, seed) * folds).cast("int"))
 
 
-def cross_validate(model: TargetModel, train: DataFrame, target: str, keys: list[str], folds: int = 5) -> tuple[float, float]:
-    """Mean and population deviation of the per-fold RMSE in original units."""
-    marked = with_fold(train, keys, folds)
-    scores = []
-    for fold in range(folds):
-        model.fit(marked.where(F.col("fold") != fold), target)
-        held = model.predict(marked.where(F.col("fold") == fold))
-        value = held.agg(rmse(target, PREDICTION)).first()[0]
-        if value is not None:
-            scores.append(value)
+def concurrently(spark: SparkSession, tasks: list[Callable]) -> list:
+    """Results of ``tasks``, run side by side: fits are long chains of small jobs that leave most of a cluster idle."""
+    with ThreadPoolExecutor(max(1, min(len(tasks), spark.sparkContext.defaultParallelism))) as pool:
+        return list(pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks))
+
+
+def _fold_tasks(model: TargetModel, design: DataFrame, target: str, folds: int) -> list[Callable[[], float | None]]:
+    def held_out(fold: int) -> float | None:
+        fitted = model.fresh().fit_design(design.where(F.col("fold") != fold))
+        return fitted.predict_design(design.where(F.col("fold") == fold)).agg(rmse(target, PREDICTION)).first()[0]
+
+    return [partial(held_out, fold) for fold in range(folds)]
+
+
+def _mean_and_deviation(scores: list[float | None]) -> tuple[float, float]:
+    scores = [s for s in scores if s is not None]
     mean = sum(scores) / len(scores)
     return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
 
 
+def _designs(models: Iterable[TargetModel], train: DataFrame, target: str, *keep: str) -> list[DataFrame]:
+    """One design per model; models with the same inputs share one."""
+    made: dict[tuple, DataFrame] = {}
+    out = []
+    for model in models:
+        key = (tuple(model.features), model.scale, model.log_target)
+        if key not in made:
+            made[key] = shared_design(model, train, target, *keep)
+        out.append(made[key])
+    return out
+
+
+def cross_validate(model: TargetModel, train: DataFrame, target: str, keys: list[str], folds: int = 5) -> tuple[float, float]:
+    """Mean and population deviation of the per-fold RMSE in original units; folds are fitted side by side."""
+    design = shared_design(model, with_fold(train, keys, folds), target, target, "fold")
+    return _mean_and_deviation(concurrently(train.sparkSession, _fold_tasks(model, design, target, folds)))
+
+
 def evaluate_regression(
     model: TargetModel, train: DataFrame, test: DataFrame, target: str, keys: list[str] | None = None, folds: int = 0
 ) -> dict:
     """Fit once, score the hold-out; optional cross-validation on train."""
-    cv = (0.0, 0.0)
-    if folds and folds > 1:
-        cv = cross_validate(model, train, target, keys, folds)
-    begin = time.monotonic()
-    model.fit(train, target)
-    seconds = time.monotonic() - begin
-    row = regression_metrics(model.predict(test), target, PREDICTION).first()
-    return {
-        "model": model.name, "rmse": row["rmse"], "mae": row["mae"], "r2": row["r2"], "fit_time": seconds,
-        "cv_rmse_mean": cv[0], "cv_rmse_std": cv[1],
-    }
+    return evaluate_models([model], train, test, target, keys, folds)[0]
+
+
+def evaluate_models(
+    models: list[TargetModel], train: DataFrame, test: DataFrame, target: str, keys: list[str] | None = None, folds: int = 0
+) -> list[dict]:
+    """Metrics of every model, all fits and folds side by side; the models are fitted on the whole of ``train``."""
+    folds = folds if folds > 1 else 0
+    if folds:
+        designs = _designs(models, with_fold(train, keys, folds), target, target, "fold")
+    else:
+        designs = _designs(models, train, target)
+
+    def whole(model: TargetModel, design: DataFrame) -> dict:
+        begin = time.monotonic()
+        model.fit_design(design)
+        seconds = time.monotonic() - begin
+        row = regression_metrics(model.predict(test), target, PREDICTION).first()
+        return {"model": model.name, "rmse": row["rmse"], "mae": row["mae"], "r2": row["r2"], "fit_time": seconds}
+
+    tasks: list[Callable] = []
+    for model, design in zip(models, designs, strict=True):
+        tasks += [partial(whole, model, design), *_fold_tasks(model, design, target, folds)]
+    results = concurrently(train.sparkSession, tasks)
+    rows = []
+    for i in range(len(models)):
+        row, *scores = results[i * (folds + 1) : (i + 1) * (folds + 1)]
+        mean, deviation = _mean_and_deviation(scores) if folds else (0.0, 0.0)
+        rows.append({**row, "cv_rmse_mean": mean, "cv_rmse_std": deviation})
+    return rows
 
 
 def evaluate_grid(
     models: dict[str, TargetModel], train: DataFrame, test: DataFrame, target: str, keys: list[str], folds: int = 0
 ) -> DataFrame:
-    """One metrics row per model.  Cache or materialise ``train`` first: every fit reads it."""
-    rows = [evaluate_regression(m, train, test, target, keys, folds) for m in models.values()]
+    """One metrics row per model.  Materialise ``test`` first: every score reads it."""
+    rows = evaluate_models(list(models.values()), train, test, target, keys, folds)
     names = [c.split()[0] for c in METRICS_SCHEMA.split(", ")]
     return train.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in rows], METRICS_SCHEMA)
 
@@ -69,15 +116,18 @@ def tune(
 ) -> DataFrame:
     """Cross-validated RMSE of every grid point, or of ``n_iter`` random ones, best first.
 
-    ``build(**params)`` returns a :class:`TargetModel`.
+    ``build(**params)`` returns a :class:`TargetModel`.  All fits run side by side.
     """
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     if n_iter is not None and n_iter < len(points):
         points = random.Random(seed).sample(points, n_iter)
-    rows = []
-    for params in points:
-        mean, std = cross_validate(build(**params), train, target, keys, folds)
-        rows.append(({k: str(v) for k, v in params.items()}, mean, std))
+    models = [build(**params) for params in points]
+    designs = _designs(models, with_fold(train, keys, folds), target, target, "fold")
+    tasks = [task for model, design in zip(models, designs, strict=True) for task in _fold_tasks(model, design, target, folds)]
+    scores = concurrently(train.sparkSession, tasks)
+    rows = [
+        ({k: str(v) for k, v in params.items()}, *_mean_and_deviation(scores[i * folds : (i + 1) * folds])) for i, params in enumerate(points)
+    ]
     scored = train.sparkSession.createDataFrame(rows, "params map<string,string>, cv_rmse double, cv_rmse_std double")
     return scored.orderBy("cv_rmse")
 
@@ -154,10 +204,11 @@ def score_models_long(
     order = segments if isinstance(segments, DataFrame) else df.sparkSession.createDataFrame([(s,) for s in segments], f"{keys[0]} string")
     times = df.select(keys[1]).distinct()
     absent = order.join(df.select(keys[0]).distinct(), keys[0], "left_anti")
-    # One row per absent segment and time: the segment list is an argument of fixed length.
-    listed = absent.agg(F.collect_list(keys[0])).scalar()
-    blanks = times.select(F.explode(listed).alias(keys[0]), keys[1])
-    blanks = blanks.select(
+    # Every absent segment at every time is part of the result: segments are dealt to parts, and each part meets all times.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = absent.withColumn("__part", F.pmod(F.xxhash64(keys[0]), F.lit(parts)).cast("int"))
+    every = times.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    blanks = every.join(dealt, "__part").select(
         *keys, F.explode(F.array(*[F.lit(n) for n in names])).alias("model"), F.lit(None).cast("double").alias(PREDICTION)
     )
     return long.join(order, keys[0], "left_semi").unionByName(blanks)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 import compare
 from laneflow.catalog import QUERIES, q_models, registry
-from laneflow.models import estimators as E
+from laneflow.models import estimators as E, evaluation as V
+from laneflow.plans.training import train_and_compare
+from laneflow.schemas import FEATURE_KEYS as KEYS
 
 SF = f"{compare.TESTDATA}/sf0.001"
 
@@ -47,14 +49,14 @@ def settings(regressor):
     ("m08", [E.random_forest]), ("m09", [E.gradient_boosting]), ("m10", [E.boosted_trees]), ("m16", [E.random_forest]), ("m19", [E.boosted_trees] * 2),
 ])
 def test_fits_have_the_settings_of_the_library(planted, monkeypatch, name, wanted):
-    seen, fit = [], E.TargetModel.fit
+    seen, fit = [], E.TargetModel.fit_design
 
-    def cheap(self, train, target):
+    def cheap(self, design):
         seen.append(settings(self.regressor))
         self.regressor = E.linear_regression()
-        return fit(self, train, target)
+        return fit(self, design)
 
-    monkeypatch.setattr(E.TargetModel, "fit", cheap)
+    monkeypatch.setattr(E.TargetModel, "fit_design", cheap)
     getattr(q_models, name)(planted)
     assert seen[: len(wanted)] == [settings(make()) for make in wanted]
 
@@ -81,9 +83,35 @@ def test_tuning_and_plans_have_the_settings_of_the_library(planted, monkeypatch)
     for query in (q_models.e2, q_models.e3):
         with pytest.raises(Done):
             query(planted)
-    assert calls == [{"folds": 3}, {}]
+    assert calls == [{"folds": 5}, {}]
 
 
 def test_boosted_fit_reaches_a_known_answer(planted):
     row = q_models.m09(planted).first()
     assert row["model"] == "gbrt_full" and row["r2"] > 0.98
+
+
+def test_side_by_side_fits_equal_single_ones(planted):
+    """Sharing designs and running at once change no number; every model's folds are its own."""
+    train = planted.features
+    models = {n: E.log1p_target(n, f, E.linear_regression(), scale=True) for n, f in (("a", ["onramp", "curve"]), ("b", ["onramp", "curve"]), ("c", ["offramp"]))}
+    models["d"] = E.log1p_target("d", ["onramp", "curve"], E.random_forest(numTrees=5, maxDepth=3))
+    rows = {r["model"]: r for r in V.evaluate_grid(models, train, train, "tt_per_mile", KEYS, folds=4).collect()}
+    for name, model in models.items():
+        alone = V.evaluate_regression(model.fresh(), train, train, "tt_per_mile")
+        mean, deviation = V.cross_validate(model.fresh(), train, "tt_per_mile", KEYS, 4)
+        assert (rows[name]["rmse"], rows[name]["cv_rmse_mean"], rows[name]["cv_rmse_std"]) == pytest.approx((alone["rmse"], mean, deviation))
+    assert rows["a"]["rmse"] == rows["b"]["rmse"] != rows["c"]["rmse"]
+
+
+def test_whole_comparison_with_small_trees(planted):
+    """All 30 models, five folds, ranked; the marks' sum is best told by models that see them."""
+    small = {"rf": {"numTrees": 5, "maxDepth": 4}, "gbrt": {"maxIter": 4}, "xgb": {"maxIter": 4}}
+    lags = {f"lag{i}_tt_per_mile": F.lit(2.0) for i in (1, 2, 3)}
+    report = train_and_compare(planted.features.withColumns(lags), tree_params=small)
+    rows = report.metrics.collect()
+    assert len(rows) == 30 and report.best == rows[0]["model"] and all(r["cv_rmse_mean"] > 0 for r in rows)
+    assert [r["cv_rmse_mean"] for r in rows] == sorted(r["cv_rmse_mean"] for r in rows)
+    # Each of the four 0/1 marks of the road set adds one: without the event mark a quarter of variance stays.
+    by_name = {r["model"]: r for r in rows}
+    assert by_name["lr_full"]["cv_rmse_mean"] < by_name["lr_base"]["cv_rmse_mean"]
