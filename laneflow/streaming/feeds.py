@@ -7,13 +7,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from laneflow.functions.columns import interval_seconds
 from laneflow.operators.ordering import POS, blocked_window, running_sums, with_position
+from laneflow.streaming.upserts import compact_log, current_state, latest_rows, write_upserts
 
-
-def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key by one map-side combined aggregate."""
-    rest = [c for c in df.columns if c not in {*keys, *order}]
-    newest = F.max(F.struct(*order, *rest)).alias("row")
-    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"row.{c}").alias(c) for c in [*order, *rest]])
+__all__ = [
+    "compact_log", "current_bins", "current_state", "latest_rows", "parse_poll_log", "poll_counts", "poll_gaps", "poll_health",
+    "stream_bin_readings", "stream_upsert", "upsert_snapshots", "write_binned", "write_upserts",
+]
 
 
 def upsert_snapshots(polls: DataFrame, key: str = "id", poll: str = "poll", payload: str = "payload") -> DataFrame:
@@ -40,32 +39,10 @@ def poll_counts(polls: DataFrame, key: str = "id", poll: str = "poll", payload:
     return summed.select(poll, "inserted", "changed", "unchanged", F.col("__run_inserted").alias("total"))
 
 
-def write_upserts(batch: DataFrame, batch_id: int, path: str, key: str = "id", poll: str = "poll") -> None:
-    """Append one micro-batch's newest row per id to the change log.
-
-    A batch only ever writes its own folder, so a replayed batch overwrites itself
-    and an empty one is a no-op.  The state is the newest row per id over the log:
-    no batch rewrites what earlier ones stored.
-    """
-    if not batch.isEmpty():
-        latest_rows(batch, [key], [poll]).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def current_state(spark: SparkSession, path: str, key: str = "id", poll: str = "poll") -> DataFrame:
-    """Newest row per id over all batches."""
-    return latest_rows(spark.read.parquet(path).drop("batch_id"), [key], [poll])
-
-
-def compact_log(spark: SparkSession, path: str, target: str, key: str = "id", poll: str = "poll") -> DataFrame:
-    """Fold the change log into one batch at a new place, which readers may switch to."""
-    current_state(spark, path, key, poll).write.mode("overwrite").parquet(f"{target}/batch_id=0")
-    return spark.read.parquet(target)
-
-
 def stream_upsert(
     stream: DataFrame, path: str, checkpoint: str, key: str = "id", poll: str = "poll", **trigger
 ) -> StreamingQuery:
-    """Upsert a stream of snapshots into the change log at ``path``."""
+    """Upsert a stream of snapshots into the store at ``path``."""
     writer = stream.writeStream.foreachBatch(lambda batch, n: write_upserts(batch, n, path, key, poll))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -74,22 +51,40 @@ def stream_bin_readings(
     stream: DataFrame, interval: str = "1h", lateness: str = "2 hours", time_col: str = "measurement_tstamp",
     key: str = "tmc_code",
 ) -> DataFrame:
-    """Means per segment and bin of a stream; a bin is final once the watermark passes it.
+    """Means per segment and bin of a stream, with the bin's newest reading.
 
-    State is one running mean per open (segment, bin).
+    State is one running mean per open (segment, bin).  Readings of bins that the
+    watermark has passed come too late and are dropped.
     """
     timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, lateness)
     measures = [c for c in ("speed", "travel_time_seconds", "reference_speed") if c in stream.columns]
     window = F.window(time_col, f"{interval_seconds(interval)} seconds")
-    binned = timed.groupBy(window, key).agg(*[F.avg(c).alias(c) for c in measures], F.count(F.lit(1)).alias("n"))
-    return binned.select(key, F.col("window.start").alias("time_bin"), *measures, "n")
+    binned = timed.groupBy(window, key).agg(*[F.avg(c).alias(c) for c in measures], F.count(F.lit(1)).alias("n"), F.max(time_col).alias("last_reading"))
+    return binned.select(key, F.col("window.start").alias("time_bin"), *measures, "n", "last_reading")
 
 
-def write_binned(binned: DataFrame, path: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
-    writer = binned.writeStream.outputMode(mode).format("parquet").option("path", path)
+def write_binned(binned: DataFrame, path: str, checkpoint: str, key: str = "tmc_code", **trigger) -> StreamingQuery:
+    """Keep the newest state of every bin at ``path``, of open ones too.
+
+    Each micro-batch brings the bins it changed, whole; they replace what the
+    store held of them.  Read them with :func:`current_bins`.
+    """
+    def store(batch: DataFrame, n: int) -> None:
+        write_upserts(batch.withColumn("__batch", F.lit(n).cast("long")), n, path, [key, "time_bin"], "__batch")
+
+    writer = binned.writeStream.outputMode("update").foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def current_bins(spark: SparkSession, path: str, interval: str = "1h", lateness: str = "2h", key: str = "tmc_code") -> DataFrame:
+    """All bins; ``is_final`` tells those that no reading can change any more, the others are provisional."""
+    bins = current_state(spark, path, [key, "time_bin"], "__batch").drop("__batch")
+    newest = bins.agg(F.max("last_reading")).scalar()
+    ends = F.unix_micros("time_bin") + interval_seconds(interval) * 1_000_000
+    final = ends <= F.unix_micros(newest) - interval_seconds(lateness) * 1_000_000
+    return bins.withColumn("is_final", final).drop("last_reading")
+
+
 def parse_poll_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """Poll lines ``[time] Updated+Inserted: N, total: M …`` and failure lines.
 

@@ -1,8 +1,10 @@
 """Physical plans, sinks, streams and models."""
 
 import datetime as dt
+import glob
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +173,62 @@ def test_stream_upsert_replay_and_empty_batch(spark, tmp_path):
     assert feeds.compact_log(spark, path, str(tmp_path / "compact")).count() == 3
 
 
+def stored_rows(path):
+    return sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{path}/data/**/*.parquet", recursive=True))
+
+
+def test_store_grows_with_keys_not_with_batches(spark, tmp_path):
+    path, want = str(tmp_path / "store"), {}
+    for n in range(24):
+        rows = [(i, n, f"{i}-{n}") for i in range(200) if n == 0 or (i * 7 + n) % 10 == 0]
+        want |= {i: x for i, _, x in rows}
+        feeds.write_upserts(spark.createDataFrame(rows, "id int, poll int, payload string"), n, path, buckets=4)
+        assert stored_rows(path) <= 4 * 200
+    assert {r["id"]: r["payload"] for r in feeds.current_state(spark, path).collect()} == want
+    assert len(glob.glob(f"{path}/manifest/*")) == 2
+    parts = spark.read.parquet(f"{path}/manifest/batch_id=23").groupBy("bucket").count().collect()
+    assert max(r["count"] for r in parts) <= 5
+
+
+def test_interrupted_and_replayed_batches(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "store"), "id int, poll int, payload string"
+    feeds.write_upserts(spark.createDataFrame([(i, 1, "old") for i in range(50)], schema), 0, path, buckets=3)
+    batch = spark.createDataFrame([(i, 2, "new") for i in range(40, 60)], schema)
+    with monkeypatch.context() as broken:
+        broken.setattr(spark, "createDataFrame", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            feeds.write_upserts(batch, 1, path)
+    assert feeds.current_state(spark, path).where("payload = 'new'").count() == 0
+    for _ in range(2):
+        feeds.write_upserts(batch, 1, path)
+    # An older row that arrives later changes nothing.
+    feeds.write_upserts(spark.createDataFrame([(41, 0, "stale")], schema), 2, path)
+    counts = {r["payload"]: r["count"] for r in feeds.current_state(spark, path).groupBy("payload").count().collect()}
+    assert counts == {"old": 40, "new": 20}
+    with pytest.raises(FileNotFoundError):
+        feeds.current_state(spark, str(tmp_path / "nothing"))
+
+
+def test_open_bins_are_provisional_and_late_rows_dropped(spark, tmp_path):
+    folder, schema = str(tmp_path), "tmc_code string, measurement_tstamp timestamp, speed double"
+    at = lambda text: dt.datetime.fromisoformat(f"2024-01-01 {text}")
+    files = [
+        [("a", at("00:10"), 10.0), ("a", at("01:10"), 20.0)],
+        [("a", at("00:50"), 30.0), ("a", at("05:00"), 50.0)],  # the first bin is still open
+        [("a", at("00:55"), 99.0), ("a", at("05:30"), 70.0), ("b", at("04:10"), 5.0)],  # the first bin is past the watermark
+    ]
+    seen = []
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        feeds.write_binned(feeds.stream_bin_readings(stream), f"{folder}/out", f"{folder}/check").awaitTermination()
+        rows = feeds.current_bins(spark, f"{folder}/out").collect()
+        seen.append({(r["tmc_code"], r["time_bin"].hour): (r["speed"], r["n"], r["is_final"]) for r in rows})
+    assert seen[0] == {("a", 0): (10.0, 1, False), ("a", 1): (20.0, 1, False)}
+    assert seen[1] == {("a", 0): (20.0, 2, True), ("a", 1): (20.0, 1, True), ("a", 5): (50.0, 1, False)}
+    assert seen[2] == {("a", 0): (20.0, 2, True), ("a", 1): (20.0, 1, True), ("a", 5): (60.0, 2, False), ("b", 4): (5.0, 1, False)}
+
+
 def test_poll_log(spark):
     lines = ["[2025-01-01 00:00:01] Updated+Inserted: 5, total: 10 events in database", "Error fetching data: x", "No valid events data received",
              "[2025-01-01 09:00:01] Updated+Inserted: 7, total: 12 events in database"]
