@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from laneflow.llm import bpe
-from laneflow.llm.common import materialise, small_batches
+from laneflow.llm import unit_ids
+from laneflow.llm.alignment import batches_of
+from laneflow.llm.common import materialise
 
 WINDOW = 2048
+# Limits of one Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 # Pieces per lane, on average.
 LANE_ROWS = 200_000
 
@@ -71,13 +74,13 @@ def cut_documents(df: DataFrame, text: str, tokenizer: str, end_id: int, window:
 
     Adds ``doc_tokens`` (ids of the document with the end id), ``start``,
     ``length``, ``ids`` (little-endian unsigned 32-bit) and their ``ids_crc32``.
-    Null and empty texts make one piece, the end id; columns of these names are
-    replaced.
+    Names of special tokens in a text become their ids, as the tokenizers library
+    has it.  Null and empty texts make one piece, the end id; columns of these
+    names are replaced.
     """
-    small_batches(df.sparkSession)
     new = {"doc_tokens", "start", "length", "ids", "ids_crc32"}
     kept = [F.col(f"`{c}`") for c in df.columns if c != text and c not in new]
-    ids = F.concat(F.coalesce(bpe.encode(F.col(f"`{text}`"), tokenizer), F.lit(b"")), F.lit(int(end_id).to_bytes(4, "little")))
+    ids = F.concat(unit_ids.encode(F.col(f"`{text}`"), tokenizer), F.lit(int(end_id).to_bytes(4, "little")))
     whole = df.select(*kept, ids.alias("ids")).withColumn("doc_tokens", (F.length("ids") / 4).cast("long"))
 
     def piece(start: Column) -> Column:
@@ -119,4 +122,6 @@ def pack(df: DataFrame, size: str, window: int = WINDOW, lane_rows: int = LANE_R
 def pack_documents(df: DataFrame, text: str, tokenizer: str, end_id: int, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Cut all documents and pack the pieces; see :func:`cut_documents` and :func:`pack`."""
     pieces = cut_documents(df, text, tokenizer, end_id, window)
-    return pack(materialise(pieces if keep_ids else pieces.drop("ids"), "pieces"), "length", window)
+    with batches_of(df.sparkSession, BATCH_ROWS, BATCH_BYTES):
+        written = materialise(pieces if keep_ids else pieces.drop("ids"), "pieces")
+    return pack(written, "length", window)

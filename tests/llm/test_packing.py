@@ -3,12 +3,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from cases import SF, documents, needs_tables
-from laneflow.llm import bpe, packing, queries
+from laneflow.llm import bpe, packing, queries, unit_ids
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -77,6 +78,42 @@ def test_awkward_documents(spark):
     assert packing.pack_documents(documents(spark, []), "text", bpe.read_tokenizer(JSON), 1).count() == 0
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_ids_are_those_of_the_library(special):
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.encode_special_tokens = not special
+    encoder = unit_ids.UnitEncoder(bpe.read_tokenizer(JSON), special)
+    draw = random.Random(6)
+    parts = [" ", "  ", "\n", "\t", "a", "word", "'s", "don't", ",", ".", "!!", "12", "é", "日本", "\x1c", "\x85", "😀", " A", "ß", "<|endoftext|>", "#", "\r\n", "\xa0", "²"]
+    for _ in range(300):
+        texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(draw.randint(1, 8))]
+        got = encoder(pa.array([t.encode() for t in texts], pa.binary())).to_pylist()
+        assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts], texts
+    assert encoder(pa.array([], pa.binary())).to_pylist() == [] and encoder(pa.array([b"", b""], pa.binary())).to_pylist() == [b"", b""]
+    sliced = pa.array([b"x", b"two words", b"y"], pa.binary()).slice(1, 1)
+    assert encoder(sliced).to_pylist() == [np.array(tokenizer.encode("two words").ids, "<u4").tobytes()]
+
+
+def test_special_tokens_in_a_document(spark):
+    rows = packing.cut_documents(documents(spark, [(1, "a <|endoftext|> b")]), "text", bpe.read_tokenizer(JSON), 1).collect()
+    assert 50256 in np.frombuffer(rows[0]["ids"], "<u4").tolist()
+
+
+def test_memory_of_texts_without_spaces():
+    encoder = unit_ids.UnitEncoder(bpe.read_tokenizer(JSON), True)
+    for i in range(20):
+        encoder(pa.array([("日本語" * 300 + str(i * 500 + j)).encode() for j in range(500)], pa.binary()))
+    assert not encoder.known and encoder.held == 0
+
+
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(unit_ids, "REMEMBERED_BYTES", 100_000)
+    encoder = unit_ids.UnitEncoder(bpe.read_tokenizer(JSON), True)
+    for i in range(30):
+        encoder(pa.array([f"w{i * 100 + j} v{j}".encode() for j in range(100)], pa.binary()))
+        assert encoder.held < 100_000 + 100 * 400
+
+
 def test_several_lanes(spark):
     df = spark.createDataFrame([(i, 1 + i * 37 % 100, 1) for i in range(500)], "doc_id int, size int, offset int")
     rows = packing.pack(df, "size", 128, lane_rows=100).collect()
@@ -88,7 +125,6 @@ def test_query(spark):
     rows = queries.QUERIES["op2_sum_of_squares_packing"](spark, SF).collect()
     docs = check(rows)
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert set(docs) == set(texts)
     ids = {d: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
