@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BUCKETS, FOLD = 64, 2
+BUCKETS, FOLD = 16, 2
 # Rows of a part in one file, on average.
 FILE_ROWS = 1_000_000
 
