@@ -10,7 +10,7 @@ from laneflow.catalog.q_windows import CHAIN
 from laneflow.catalog.registry import query
 from laneflow.functions.columns import clip_log
 from laneflow.models.features import feature_sets
-from laneflow.operators import aggregates as A, graph, sampling, stats, windows as W
+from laneflow.operators import aggregates as A, forecast, graph, sampling, stats, windows as W
 from laneflow.operators.ordering import POS
 from laneflow.plans.impact import masked_train
 from laneflow.schemas import FEATURE_KEYS
@@ -130,14 +130,14 @@ def m29(fx: Fixtures) -> DataFrame:
 
 @query("m30_per_segment_forecast")
 def m30(fx: Fixtures) -> DataFrame:
-    """Seasonal autoregression per segment and exogenous set."""
-    return stats.per_segment_forecast(fx.features)
+    """Errors of the forecast, one step and many steps ahead, per segment and exogenous set."""
+    return forecast.per_segment_forecast(fx.features)
 
 
 @query("m30_best_config")
 def m30_best(fx: Fixtures) -> DataFrame:
     """Best exogenous set per segment by test MAPE."""
-    return W.best_per_group(stats.per_segment_forecast(fx.features), ["tmc_code"], "mape_test", ["config"])
+    return W.best_per_group(forecast.per_segment_forecast(fx.features), ["tmc_code"], "mape_test", ["config"])
 
 
 SERIES = "SELECT time_bin, avg(travel_time_seconds) AS y FROM binned GROUP BY 1"

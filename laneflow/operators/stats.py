@@ -1,16 +1,15 @@
-"""Correlations, tests, error measures, autocorrelation and per-segment forecasts."""
+"""Correlations, tests, error measures and autocorrelation."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from laneflow.functions.columns import clip_log
-from laneflow.operators.ordering import POS, blocked_window, with_position
+from laneflow.operators.ordering import blocked_window, with_position
 from laneflow.operators.ranking import average_rank
 from laneflow.operators.windows import shift_circular, shift_plain
 
@@ -228,109 +227,3 @@ def partial_autocorrelation(acf: DataFrame) -> DataFrame:
     values = row.select(F.col("a.acf").alias("acf"))
     both = values.withColumn("pacf", _durbin_levinson("acf"))
     return both.select(F.posexplode(F.arrays_zip("acf", "pacf")).alias("lag", "p")).select("lag", "p.acf", "p.pacf")
-
-
-# --- per-segment forecast -------------------------------------------------
-
-EXOGENOUS_SETS = {
-    "base": [],
-    "evt_total": ["evt_total"],
-    "evt": ["evt_cat_unplanned", "evt_cat_planned"],
-    "cyc": ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "hour_of_week_sin", "hour_of_week_cos", "is_weekend"],
-    "full": [
-        "evt_cat_unplanned", "evt_cat_planned", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "hour_of_week_sin",
-        "hour_of_week_cos", "is_weekend",
-    ],
-}
-
-
-def _solve_normal_equations(order: list[str], configs: dict[str, list[int]]):
-    """Per batch of segments: least-squares weights of each configuration from summed products."""
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = len(order)
-        for batch in batches:
-            rows = []
-            for key, flat, moment in zip(batch["key"], batch["xtx"], batch["xty"]):
-                gram = np.zeros((width, width))
-                gram[np.triu_indices(width)] = flat
-                gram = gram + np.triu(gram, 1).T
-                moment = np.asarray(moment, dtype=float)
-                for name, picked in configs.items():
-                    weights = np.zeros(width)
-                    # The pseudo-inverse copes with constant or collinear columns.
-                    weights[picked] = np.linalg.pinv(gram[np.ix_(picked, picked)], rcond=1e-10) @ moment[picked]
-                    rows.append((key, name, weights.tolist()))
-            yield pd.DataFrame(rows, columns=["key", "config", "weights"])
-
-    return solve
-
-
-def per_segment_forecast(
-    df: DataFrame, target: str = "travel_time_seconds", configs: dict[str, list[str]] = EXOGENOUS_SETS, period: int = 24,
-    test_fraction: float = 0.2, key: str = "tmc_code", order: str = "time_bin",
-) -> DataFrame:
-    """Seasonal autoregression per segment and exogenous set, with train and test measures.
-
-    The seasonal difference ``d_t = y_t - y_(t-period)`` is regressed on a constant,
-    ``d_(t-1)``, ``d_(t-period)`` and the exogenous columns; ``y`` is predicted one
-    step ahead.  The last ``int(n · test_fraction)`` rows of a segment are held out.
-
-    No segment is ever gathered in one place: the products that least squares needs
-    are plain sums (combined map-side), only those small sums reach Python.
-    """
-    exog = sorted({c for columns in configs.values() for c in columns})
-    placed = with_position(df.drop(POS), order, [key], total="__n")
-    y = F.col(target)
-    lagged = blocked_window(
-        placed,
-        lambda w: {
-            "__base": F.lag(target, period).over(w),
-            "__d": y - F.lag(target, period).over(w),
-            "__d1": F.lag(target, 1).over(w) - F.lag(target, period + 1).over(w),
-            "__ds": F.lag(target, period).over(w) - F.lag(target, 2 * period).over(w),
-        },
-        before=2 * period, after=0, keys=[key],
-    )
-    rows = lagged.withColumn(
-        "__part", F.when(F.col(POS) >= F.col("__n") - F.floor(F.col("__n") * F.lit(test_fraction)), "test").otherwise("train")
-    )
-    inputs = [F.lit(1.0), F.col("__d1"), F.col("__ds"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in exog]]
-    names = [f"__x{i}" for i in range(len(inputs))]
-    rows = rows.withColumns(dict(zip(names, inputs))).where(
-        F.col("__d").isNotNull() & F.col("__d1").isNotNull() & F.col("__ds").isNotNull()
-    )
-    train = rows.where("__part = 'train'")
-    upper = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
-    sums = train.groupBy(key).agg(
-        F.array(*upper).alias("xtx"), F.array(*[F.sum(F.col(a) * F.col("__d")) for a in names]).alias("xty")
-    )
-    picks = {name: [0, 1, 2] + [3 + exog.index(c) for c in columns] for name, columns in configs.items()}
-    kind = df.schema[key].dataType.simpleString()
-    weights = sums.withColumnRenamed(key, "key").mapInPandas(
-        _solve_normal_equations(names, picks), f"key {kind}, config string, weights array<double>"
-    )
-    wide = weights.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("config", "weights"))).alias("__w"))
-    scored = rows.select(key, "__part", "__base", target, *names).join(wide.withColumnRenamed("key", key), key)
-    measures = []
-    for name in configs:
-        weight = F.try_element_at("__w", F.lit(name))
-        step = sum([F.col(n) * F.element_at(weight, i + 1) for i, n in enumerate(names)][1:], F.element_at(weight, 1))
-        scored = scored.withColumn(f"__p_{name}", F.col("__base") + step)
-    for name in configs:
-        for part in ("train", "test"):
-            here = F.col("__part") == part
-            truth = F.when(here, F.col(target))
-            guess = F.when(here, F.col(f"__p_{name}"))
-            eps, d = F.lit(1e-6), F.when(here, F.col(target) - F.col(f"__p_{name}"))
-            measures += [
-                (F.avg(F.abs(d / (truth + eps))) * 100).alias(f"{name}|mape_{part}"),
-                (F.sqrt(F.avg(d * d)) / (F.avg(truth) + eps)).alias(f"{name}|nrmse_{part}"),
-                F.corr(truth, guess).alias(f"{name}|corr_{part}"),
-            ]
-    per_key = scored.groupBy(key).agg(*measures)
-    parts = ["mape_train", "mape_test", "nrmse_train", "nrmse_test", "corr_train", "corr_test"]
-    packed = F.array(*[
-        F.struct(F.lit(name).alias("config"), *[F.col(f"`{name}|{m}`").alias(m) for m in parts]) for name in configs
-    ])
-    return per_key.select(key, F.explode(packed).alias("c")).select(key, "c.*")

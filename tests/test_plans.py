@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laneflow.models import estimators as E, evaluation as V
-from laneflow.operators import aggregates, filters, grid, intervals, stats, topk, windows
+from laneflow.operators import aggregates, filters, forecast, grid, intervals, stats, topk, windows
 from laneflow.operators.ordering import BLOCK
 from laneflow.plans.feature_table import build_feature_table
 from laneflow.sources import readers, writers
@@ -295,7 +295,7 @@ def test_forecast_recovers_a_seasonal_series(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [("s", start + dt.timedelta(hours=h), 100 + 10 * ((h % 24) / 24) + 0.001 * h, float(h % 7 == 0)) for h in range(400)]
     df = spark.createDataFrame(rows, "tmc_code string, time_bin timestamp, y double, e double")
-    got = stats.per_segment_forecast(df, "y", {"base": [], "event": ["e"]}).collect()
+    got = forecast.per_segment_forecast(df, "y", {"base": [], "event": ["e"]}).collect()
     assert {r["config"] for r in got} == {"base", "event"} and all(r["mape_test"] < 1e-6 and r["corr_test"] > 0.999 for r in got)
 
 
