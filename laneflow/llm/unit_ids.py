@@ -25,6 +25,20 @@ REMEMBERED_BYTES, LONGEST = 96 << 20, 64
 SLICE = 1 << 20
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(","), ord(".")]] = True
+
+
+def _starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where units begin: also at a comma or full stop behind a letter, which the pattern always parts."""
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _STOP[data[1:]] & _LETTER[data[:-1]]
+    cut[unit_starts(data, texts)] = True
+    return np.flatnonzero(cut)
+
+
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -78,7 +92,7 @@ class UnitEncoder:
         offsets = offsets - base
         held = whole.buffers()[2] if n else None
         data = np.frombuffer(held, np.uint8)[base : base + int(offsets[-1])] if held else np.zeros(0, np.uint8)
-        starts = unit_starts(data, offsets[:-1][np.diff(offsets) > 0])
+        starts = _starts(data, offsets[:-1][np.diff(offsets) > 0])
         bounds = np.append(starts, len(data)).astype(np.int64)
         units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         ids = pa.array(self.units(units.dictionary.to_pylist()), pa.large_binary()).take(units.indices)
