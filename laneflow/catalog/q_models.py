@@ -15,12 +15,13 @@ from laneflow.catalog.fixtures import Fixtures
 from laneflow.catalog.registry import query
 from laneflow.functions.columns import log_features
 from laneflow.models import estimators as E, evaluation as V
+from laneflow.models.store import load_best, save_models
 from laneflow.models.features import CYCLE, GROUPS, NO_EVENT_FEATURES, PLANNED_FEATURES, RAW_LAGS, ROAD, feature_sets
 from laneflow.operators.windows import chronological_split
 from laneflow.plans.impact import event_impact
 from laneflow.plans.training import train_and_compare, training_sets
 from laneflow.schemas import FEATURE_KEYS
-from laneflow.session import materialise
+from laneflow.session import materialise, shared_dir
 
 TARGET = "tt_per_mile"
 
@@ -190,6 +191,18 @@ def m20(fx: Fixtures) -> DataFrame:
     return V.score_models_long(models, log_features(features), FEATURE_KEYS, segments)
 
 
+@query("m20_stored_model", """
+    WITH fit AS MATERIALIZED (SELECT regr_slope(ln(1 + tt_per_mile), lag1_tt_per_mile) AS b, regr_intercept(ln(1 + tt_per_mile), lag1_tt_per_mile) AS a FROM features)
+    SELECT tmc_code, time_bin, 'lr_lag1' AS model, round(exp((SELECT a FROM fit) + (SELECT b FROM fit) * lag1_tt_per_mile) - 1, 3) AS prediction FROM features""", "features")
+def m20_stored(fx: Fixtures) -> DataFrame:
+    """A model fitted, stored with its metrics, read back by name and scored on every row."""
+    rows = fx.features.select(*FEATURE_KEYS, TARGET, "lag1_tt_per_mile")
+    model = E.log1p_target("lr_lag1", ["lag1_tt_per_mile"], E.linear_regression(solver="normal"), scale=True).fit(rows, TARGET)
+    folder = shared_dir(fx.spark, "models")
+    save_models(fx.spark, [model], folder, {"lr_lag1": {"n_rows": rows.count()}}, best="lr_lag1")
+    return V.score_models_long({"lr_lag1": load_best(fx.spark, folder)}, rows, FEATURE_KEYS).withColumn("prediction", F.round("prediction", 3))
+
+
 @query("m23_model_leaderboard", """
     WITH tab AS (SELECT ['lr', 'rf', 'xgb'][1 + o_custkey % 3] || ['_full', '_base'][1 + o_orderkey % 2] AS model, stddev_samp(o_totalprice) / 1000 AS cv_rmse FROM orders GROUP BY 1),
     seq AS (SELECT ['lstm_full', 'gnn_full'][1 + o_orderkey % 2] AS model, avg(o_totalprice) AS mse FROM orders GROUP BY 1)

@@ -109,6 +109,35 @@ def s09(fx: Fixtures) -> DataFrame:
     return stored.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("mean_pred"))
 
 
+@query("s09_read_predictions", """
+    WITH late AS (SELECT * FROM predictions WHERE time_bin >= (SELECT min(time_bin) + INTERVAL 24 HOUR FROM predictions))
+    SELECT f.tmc_code, f.time_bin, m.model, p.y_pred FROM features f CROSS JOIN (VALUES ('last'), ('mixed')) AS m(model)
+    LEFT JOIN late p ON p.tmc_code = f.tmc_code AND p.time_bin = f.time_bin AND p.model = m.model""", "predictions features", "y_pred")
+def s09_read(fx: Fixtures) -> DataFrame:
+    """Predictions without a model's first day, written and read back on the whole timeline."""
+    path = shared_dir(fx.spark, "predictions")
+    first = fx.predictions.agg(F.min("time_bin")).scalar()
+    extra = {"split": F.lit("test"), "seq_len": F.lit(24), "direction": F.lit("WB")}
+    writers.write_predictions(fx.predictions.where(F.col("time_bin") >= first + F.expr("INTERVAL 24 HOURS")).withColumns(extra), path)
+    return readers.read_predictions(fx.spark, path, fx.features).select("tmc_code", "time_bin", "model", "y_pred")
+
+
+@query("s10_top_features", """
+    SELECT model, 'error' AS kind, CAST(rank AS INTEGER) AS rank, feature, score FROM (
+        SELECT model, unnest([1, 2]) AS rank, unnest(['rmse', 'mae']) AS feature,
+               unnest([sqrt(avg(power(y_true - y_pred, 2))), avg(abs(y_true - y_pred))]) AS score FROM predictions GROUP BY model)""", "predictions", "score")
+def s10_top(fx: Fixtures) -> DataFrame:
+    """The list nested beside each model's metrics, read back as rows."""
+    d = F.col("y_true") - F.col("y_pred")
+    errors = fx.predictions.groupBy("model").agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"))
+    top = errors.unpivot("model", ["rmse", "mae"], "feature", "score").withColumns({
+        "kind": F.lit("error"), "rank": F.when(F.col("feature") == "rmse", 1).otherwise(2),
+    })
+    folder = shared_dir(fx.spark, "metrics")
+    writers.write_metrics(errors.select("model", F.col("rmse").alias("cv_rmse_mean")), top, folder)
+    return readers.read_top_features(fx.spark, f"{folder}/metrics_json")
+
+
 @query("s10_metrics", """
     SELECT model, sqrt(avg(power(y_true - y_pred, 2))) AS cv_rmse FROM predictions GROUP BY 1""", "predictions", "cv_rmse")
 def s10(fx: Fixtures) -> DataFrame:

@@ -64,11 +64,14 @@ def boosted_trees(**params) -> GBTRegressor:
 
 @dataclass
 class TargetModel:
-    """A regressor with its inputs and an optional log1p target; missing inputs count as 0."""
+    """A regressor with its inputs and an optional log1p target; missing inputs count as 0.
+
+    One read back from a store has its fitted pipeline only and can't be fitted again.
+    """
 
     name: str
     features: list[str]
-    regressor: Estimator
+    regressor: Estimator | None
     scale: bool = False
     log_target: bool = True
     fitted: PipelineModel | None = field(default=None, repr=False)

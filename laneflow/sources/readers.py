@@ -85,6 +85,32 @@ def read_metrics(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     return raw.select(F.col(names[0]).cast("string").alias("model"), F.col(scores[0]).cast("double").alias("cv_rmse"))
 
 
+def read_top_features(spark: SparkSession, path: str) -> DataFrame:
+    """(model, kind, rank, feature, score) from the nested lists beside the metrics; models without a list have no rows."""
+    nested = "model string, top_features_kind string, top_features array<struct<rank:int,feature:string,score:double>>"
+    raw = spark.read.schema(nested).json(path)
+    return raw.select("model", F.col("top_features_kind").alias("kind"), F.inline("top_features"))
+
+
+def read_predictions(spark: SparkSession, path: str, timeline: DataFrame | None = None, models: list[str] | None = None) -> DataFrame:
+    """Stored predictions, of all models or of ``models``; on a ``timeline`` (key, time) every model has all its rows.
+
+    A sequence model predicts nothing for the first steps of a segment: rows of the
+    timeline without a prediction are NULL.  Models are folders, so only the
+    chosen ones are read.
+    """
+    stored = spark.read.parquet(path)
+    if models is not None:
+        stored = stored.where(F.col("model").isin(models))
+    if timeline is None:
+        return stored
+    names = stored.select("model").distinct()
+    # A few models: every row of the timeline once for each, by one array of their names.
+    listed = names.agg(F.collect_list("model")).scalar()
+    spine = timeline.select(*schemas.FEATURE_KEYS).select("*", F.explode(listed).alias("model"))
+    return spine.join(stored, [*schemas.FEATURE_KEYS, "model"], "left")
+
+
 def from_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Points of the LineString features: feature number within its file, point number, lon, lat.
 

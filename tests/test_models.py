@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 import compare
 from laneflow.catalog import QUERIES, q_models, registry
-from laneflow.models import estimators as E, evaluation as V
-from laneflow.plans.training import train_and_compare
+from laneflow.functions.columns import log_features
+from laneflow.models import estimators as E, evaluation as V, store
+from laneflow.plans.training import train_and_compare, write_report
 from laneflow.schemas import FEATURE_KEYS as KEYS
+from laneflow.sources import readers
 
 SF = f"{compare.TESTDATA}/sf0.001"
 
@@ -104,7 +106,7 @@ def test_side_by_side_fits_equal_single_ones(planted):
     assert rows["a"]["rmse"] == rows["b"]["rmse"] != rows["c"]["rmse"]
 
 
-def test_whole_comparison_with_small_trees(planted):
+def test_whole_comparison_with_small_trees(planted, tmp_path):
     """All 30 models, five folds, ranked; the marks' sum is best told by models that see them."""
     small = {"rf": {"numTrees": 5, "maxDepth": 4}, "gbrt": {"maxIter": 4}, "xgb": {"maxIter": 4}}
     lags = {f"lag{i}_tt_per_mile": F.lit(2.0) for i in (1, 2, 3)}
@@ -115,3 +117,24 @@ def test_whole_comparison_with_small_trees(planted):
     # Each of the four 0/1 marks of the road set adds one: without the event mark a quarter of variance stays.
     by_name = {r["model"]: r for r in rows}
     assert by_name["lr_full"]["cv_rmse_mean"] < by_name["lr_base"]["cv_rmse_mean"]
+
+    folder, spark = str(tmp_path), planted.spark
+    write_report(report, folder)
+    described = {r["model"]: r for r in store.stored_models(spark, f"{folder}/models").collect()}
+    assert len(described) == 30 and [n for n, r in described.items() if r["is_best"]] == [report.best]
+    assert described["rf_full"]["metrics"]["rmse"] == pytest.approx(by_name["rf_full"]["rmse"])
+    table = planted.features.withColumns(lags)
+    for name in ("lr_full", "rf_full", "xgb_base", "lasso_full"):
+        again = store.load_model(spark, f"{folder}/models", name)
+        both = again.predict(report.models[name].predict(log_features(table), "before"), "after")
+        assert both.where("not (abs(before - after) < 1e-9)").count() == 0 and both.count() == 600
+    assert store.load_best(spark, f"{folder}/models").name == report.best
+    with pytest.raises(KeyError):
+        store.load_model(spark, f"{folder}/models", "none")
+    with pytest.raises(ValueError):
+        store.save_models(spark, [E.log1p_target("raw", ["curve"], E.linear_regression())], folder)
+    nested = readers.read_top_features(spark, f"{folder}/metrics_json")
+    assert sorted(map(tuple, nested.collect())) == sorted(tuple(r[c] for c in nested.columns) for r in report.top_features.collect())
+    shares = spark.read.parquet(f"{folder}/importance_by_group").groupBy("model").agg(F.sum("importance").alias("s")).collect()
+    assert all(r["s"] == pytest.approx(1) for r in shares)
+    assert {"tt_per_mile", "log_lag1_tt_per_mile", "curve"} <= set(spark.read.parquet(f"{folder}/training_columns").columns)
