@@ -43,6 +43,16 @@ class Fixtures:
         numbers += [(-112.0 + F.lit(0.5) * F.element_at(e, i).cast("double")).alias(f"lon{i}") for i in (2, 4, 6)]
         return self.table("embeddings").select("vec_id", "label", *numbers)
 
+    @cached_property
+    def _n_places(self) -> int:
+        """One more than the last place's number: events are spread over all of them."""
+        return self.table("embeddings").agg(F.max("vec_id")).first()[0] + 1
+
+    @cached_property
+    def codes(self) -> list[str]:
+        """All segment codes of the readings: the columns of wide tables."""
+        return sorted(r[0] for r in self.readings.select("tmc_code").distinct().collect())
+
     @cached_property
     def segments(self) -> DataFrame:
         users = self.table("events").select("user_id").distinct()
@@ -85,7 +95,7 @@ class Fixtures:
         i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("bigint")
         start = F.unix_seconds("ts")
         suffix = F.when(i % 3 == 0, " West").when(i % 3 == 1, " EAST").otherwise("")
-        return self.events.join(self._places, F.col("vec_id") == i % 500).select(
+        return self.events.join(self._places, F.col("vec_id") == i % self._n_places).select(
             i.cast("string").alias("ID"), F.lit("DOT").alias("Organization"),
             F.when(i % 13 == 0, F.lit(None).cast("string")).when(i % 17 == 0, "")
             .otherwise(F.concat(F.lit("I-"), (10 + i % 7).cast("string"), suffix)).alias("RoadwayName"),
@@ -117,7 +127,7 @@ class Fixtures:
         i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("bigint")
         iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
         stop = F.timestamp_seconds(F.unix_seconds("ts") + k * 3600 * F.when(i % 23 == 0, 40).otherwise(1))
-        return self.events.join(self._places, F.col("vec_id") == i % 500).select(
+        return self.events.join(self._places, F.col("vec_id") == i % self._n_places).select(
             i.alias("id"), F.col("event_type"),
             F.when(i % 19 != 0, F.date_format(F.timestamp_seconds(F.unix_seconds("ts") - k * 60), iso)).alias("update_date"),
             F.when(i % 37 == 0, "bad").otherwise(F.date_format("ts", iso)).alias("start_date"),
@@ -263,7 +273,7 @@ CTES: dict[str, tuple[str, str]] = {
                event_id % 10 = 0 AS IsFullClosure,
                CASE event_id % 4 WHEN 0 THEN 'Minor' WHEN 1 THEN 'Major' WHEN 2 THEN '' END AS Severity,
                {_CODE.format('user_id')} AS near_tmc
-        FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s, {_K} AS k FROM events) JOIN places ON vec_id = event_id % 500"""),
+        FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s, {_K} AS k FROM events) JOIN places ON vec_id = event_id % (SELECT max(vec_id) + 1 FROM embeddings)"""),
     "utc_events": ("road_events", """
         SELECT * REPLACE (make_timestamp(Reported * 1000000) AS Reported, make_timestamp(LastUpdated * 1000000) AS LastUpdated,
                make_timestamp(StartDate * 1000000) AS StartDate,
@@ -281,7 +291,7 @@ CTES: dict[str, tuple[str, str]] = {
                CASE WHEN event_id % 37 = 0 THEN 'bad' ELSE strftime(s, '%Y-%m-%dT%H:%M:%SZ') END AS start_date,
                strftime(s + k * CASE WHEN event_id % 23 = 0 THEN 40 ELSE 1 END * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS end_date,
                lat5 AS latitude, lon6 AS longitude, CASE WHEN event_id % 3 = 0 THEN 'ERS' ELSE 'RADS' END AS data_source_id
-        FROM (SELECT *, date_trunc('second', ts) AS s, {_K} AS k FROM events) JOIN places ON vec_id = event_id % 500"""),
+        FROM (SELECT *, date_trunc('second', ts) AS s, {_K} AS k FROM events) JOIN places ON vec_id = event_id % (SELECT max(vec_id) + 1 FROM embeddings)"""),
     "day_intervals": ("", """
         SELECT l_orderkey * 10 + l_linenumber AS id, CAST(o_orderdate AS DATE) AS start_date,
                CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS end_date, o_orderpriority AS category, o_custkey % 50 AS segment

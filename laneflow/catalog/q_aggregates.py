@@ -376,26 +376,29 @@ def a27_range(fx: Fixtures) -> DataFrame:
     return A.speed_range(fx.hourly)
 
 
-MATRIX = ["S000001", "S000003", "S000004"]
+# Every two-hour bin between the first and the last, with every segment.
+MATRIX = """
+    SELECT time_bin, tmc_code FROM (SELECT unnest(generate_series(min(t), max(t), INTERVAL 2 HOUR)) AS time_bin FROM (
+        SELECT time_bucket(INTERVAL 2 HOUR, measurement_tstamp) AS t FROM readings)) CROSS JOIN (SELECT DISTINCT tmc_code FROM readings)"""
 
 
 @query("a28_time_segment_matrix", f"""
-    SELECT s.time_bin, {", ".join(f"avg(r.speed) FILTER (WHERE r.tmc_code = '{c}') AS {c}" for c in MATRIX)}
-    FROM (SELECT unnest(generate_series(min(t), max(t), INTERVAL 2 HOUR)) AS time_bin FROM (
-              SELECT time_bucket(INTERVAL 2 HOUR, measurement_tstamp) AS t FROM readings WHERE tmc_code IN ('S000001', 'S000003', 'S000004'))) s
-    LEFT JOIN readings r ON time_bucket(INTERVAL 2 HOUR, r.measurement_tstamp) = s.time_bin GROUP BY 1""", "readings", " ".join(MATRIX))
+    WITH cells AS ({MATRIX}), binned_2h AS (
+        SELECT time_bucket(INTERVAL 2 HOUR, measurement_tstamp) AS time_bin, tmc_code, avg(speed) AS speed FROM readings GROUP BY 1, 2)
+    SELECT c.time_bin, c.tmc_code, b.speed FROM cells c LEFT JOIN binned_2h b ON b.time_bin = c.time_bin AND b.tmc_code = c.tmc_code""", "readings", "speed")
 def a28(fx: Fixtures) -> DataFrame:
-    return reshape.time_segment_matrix(fx.readings, MATRIX, interval="2h")
+    """The matrix of all segments, one row per cell."""
+    return reshape.time_segment_matrix(fx.readings, fx.codes, interval="2h").unpivot("time_bin", fx.codes, "tmc_code", "speed")
 
 
 @query("a28_matrix_median_resampled", f"""
-    SELECT time_bucket(INTERVAL 1 DAY, time_bin) AS time_bin, {", ".join(f"avg({c}) AS {c}" for c in MATRIX)} FROM (
-        SELECT time_bucket(INTERVAL 2 HOUR, measurement_tstamp) AS time_bin,
-               {", ".join(f"quantile_cont(speed, 0.5) FILTER (WHERE tmc_code = '{c}') AS {c}" for c in MATRIX)}
-        FROM readings WHERE tmc_code IN ('S000001', 'S000003', 'S000004') GROUP BY 1) GROUP BY 1""", "readings", " ".join(MATRIX))
+    WITH cells AS ({MATRIX}), binned_2h AS (
+        SELECT time_bucket(INTERVAL 2 HOUR, measurement_tstamp) AS time_bin, tmc_code, quantile_cont(speed, 0.5) AS speed FROM readings GROUP BY 1, 2)
+    SELECT time_bucket(INTERVAL 1 DAY, c.time_bin) AS time_bin, c.tmc_code, avg(b.speed) AS speed
+    FROM cells c LEFT JOIN binned_2h b ON b.time_bin = c.time_bin AND b.tmc_code = c.tmc_code GROUP BY 1, 2""", "readings", "speed")
 def a28_resampled(fx: Fixtures) -> DataFrame:
-    wide = reshape.time_segment_matrix(fx.readings, MATRIX, interval="2h", agg="median")
-    return reshape.resample_matrix(wide, MATRIX, "1d")
+    wide = reshape.time_segment_matrix(fx.readings, fx.codes, interval="2h", agg="median")
+    return reshape.resample_matrix(wide, fx.codes, "1d").unpivot("time_bin", fx.codes, "tmc_code", "speed")
 
 
 @query("a29_event_hour_rollup", """

@@ -147,17 +147,18 @@ def j13(fx: Fixtures) -> DataFrame:
 
 
 @query("j14_join_truth_prediction", """
-    SELECT time_bin, tmc_code, y_true, CASE WHEN hour(time_bin) < 12 THEN y_pred END AS y_pred FROM predictions
-    WHERE model = 'mixed' AND tmc_code IN ('S000001', 'S000002', 'S000005')""", "predictions", "y_true y_pred")
+    SELECT model, time_bin, tmc_code, y_true, CASE WHEN hour(time_bin) < 12 THEN y_pred END AS y_pred FROM predictions""", "predictions", "y_true y_pred")
 def j14(fx: Fixtures) -> DataFrame:
-    """Wide truth and (half a day of) prediction matrices to one long table."""
+    """Wide truth and (half a day of) prediction matrices of all segments to one long table per model."""
     from laneflow.operators.reshape import pivot_long_to_wide
 
-    order = ["S000001", "S000002", "S000005"]
-    rows = fx.predictions.where("model = 'mixed'")
-    truth = pivot_long_to_wide(rows, "time_bin", "tmc_code", "y_true", order)
-    predicted = pivot_long_to_wide(rows.where(F.hour("time_bin") < 12), "time_bin", "tmc_code", "y_pred", order)
-    return joins.join_truth_prediction(truth, predicted, order)
+    def one(model: str) -> DataFrame:
+        rows = fx.predictions.where(F.col("model") == model)
+        truth = pivot_long_to_wide(rows, "time_bin", "tmc_code", "y_true", fx.codes)
+        predicted = pivot_long_to_wide(rows.where(F.hour("time_bin") < 12), "time_bin", "tmc_code", "y_pred", fx.codes)
+        return joins.join_truth_prediction(truth, predicted, fx.codes).withColumn("model", F.lit(model))
+
+    return one("last").unionByName(one("mixed"))
 
 
 @query("j15_holiday_join", """

@@ -9,7 +9,6 @@ from laneflow.catalog.q_aggregates import HASH, MASKED, SPATIAL, TEMPORAL
 from laneflow.catalog.q_windows import CHAIN
 from laneflow.catalog.registry import query
 from laneflow.functions.columns import clip_log
-from laneflow.models.features import feature_sets
 from laneflow.operators import aggregates as A, forecast, graph, sampling, stats, windows as W
 from laneflow.operators.ordering import POS
 from laneflow.plans.impact import masked_train
@@ -38,17 +37,31 @@ def m03(fx: Fixtures) -> DataFrame:
     return sampling.sample_rows(fx.events, 3000, ["event_id"]).select("event_id", "value")
 
 
-@query("m04_feature_sets", f"""
-    SELECT name, CAST(n AS INTEGER) AS n_features, (SELECT count(*) FROM features) AS n_rows FROM (VALUES {", ".join(f"('{k}', {len(v)})" for k, v in feature_sets().items())}) AS s(name, n)""",
-    "features")
+@query("m04_feature_sets", """
+    WITH parts AS (
+        SELECT miles + reference_speed + curve + onramp + offramp AS road,
+               hour_sin + hour_cos + dow_sin + dow_cos + hour_of_week_sin + hour_of_week_cos + is_weekend AS cyc,
+               evt_cat_unplanned + evt_cat_planned AS evt,
+               ln(lag1_tt_per_mile + CAST(1e-6 AS DOUBLE)) + ln(lag2_tt_per_mile + CAST(1e-6 AS DOUBLE)) + ln(lag3_tt_per_mile + CAST(1e-6 AS DOUBLE)) AS lags FROM features),
+    sums AS (
+        SELECT unnest(['base', 'base_lags', 'full', 'cyc', 'cyc_lags', 'evt', 'evt_lags']) AS name, unnest([5, 8, 17, 12, 15, 7, 10]) AS n_features,
+               unnest([road, road + lags, cyc + evt + lags + road, cyc + road, cyc + road + lags, evt + road, evt + road + lags]) AS total FROM parts)
+    SELECT name, CAST(n_features AS INTEGER) AS n_features, count(total) AS n_rows, avg(total) AS mean_total, stddev_samp(total) AS std_total FROM sums GROUP BY 1, 2""",
+    "features", "mean_total std_total")
 def m04(fx: Fixtures) -> DataFrame:
-    """How many columns of each named set the feature table provides."""
+    """Every named set on the feature table: columns it has there, and the mean and spread of their sum over the rows."""
     from laneflow.functions.columns import log_features
     from laneflow.models.features import available_sets
 
-    sets = available_sets(log_features(fx.features).columns)
-    pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(len(v)).alias("n_features")) for k, v in sets.items()])
-    return fx.features.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(pairs).alias("s"), "n_rows").select("s.*", "n_rows")
+    rows = log_features(fx.features)
+    sets = available_sets(rows.columns)
+    totals = [
+        F.struct(F.lit(name).alias("name"), F.lit(len(members)).alias("n_features"), sum([F.col(c).cast("double") for c in members], F.lit(0.0)).alias("total"))
+        for name, members in sets.items()
+    ]
+    return rows.select(F.explode(F.array(*totals)).alias("s")).select("s.*").groupBy("name", "n_features").agg(
+        F.count("total").alias("n_rows"), F.avg("total").alias("mean_total"), F.stddev_samp("total").alias("std_total")
+    )
 
 
 @query("m21_detect_prediction_space", """

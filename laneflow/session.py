@@ -30,13 +30,24 @@ def build_session(app: str = "laneflow", master: str | None = None, conf: dict |
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where that setting is missing, as in a plain local session, the folder lies
-    in the session's warehouse, which Spark's own tables share in the same way.
+    Where that setting is missing, as in a plain local session, the folder lies in
+    the session's warehouse.  On a cluster a warehouse on a machine's own disk would
+    lose rows silently, since every executor has its own: that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        local = base.startswith(("file:", "/")) and not spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").startswith("hdfs")
+        if not is_local(spark.sparkContext.master) and local:
+            raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def is_local(master: str) -> bool:
+    """Whether executors share the driver's machine and process."""
+    return master == "local" or master.startswith("local[")
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

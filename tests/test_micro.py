@@ -371,3 +371,22 @@ def test_priority_limit(spark):
     assert topk.priority_sort_limit(df, ["FRC5"], local_limit=1000).count() == 1000 and topk.priority_sort_limit(df, ["FRC5"]).count() == 1500
     assert topk.priority_sort_limit(df, ["FRC0"]).count() == 1500
     assert topk.priority_sort_limit(df, ["FRC0"], 5).first()["id"] == 1499
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from laneflow.session import shared_dir
+
+    def session(master, conf, default_fs="file:///"):
+        hadoop = SimpleNamespace(get=lambda key, default=None: default_fs)
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(hadoopConfiguration=lambda: hadoop))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)), sparkContext=context)
+
+    own = {"spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}
+    assert shared_dir(session("local[8]", own), "t").startswith("file:/home/me/spark-warehouse/_intermediate/t-")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master, own), "t")
+        assert shared_dir(session(master, own | {"spark.checkpoint.dir": "hdfs://n/c"}), "t").startswith("hdfs://n/c/t-")
+        assert shared_dir(session(master, {"spark.sql.warehouse.dir": "s3a://b/w"}), "t").startswith("s3a://b/w/_intermediate/t-")
