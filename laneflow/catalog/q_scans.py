@@ -77,10 +77,11 @@ def s06(fx: Fixtures) -> DataFrame:
     return writers.rollup_cache(fx.spark, path, lambda: fx.hourly.limit(0))
 
 
-@query("s07_rewrite_bounded_files", "SELECT count(*) AS n_rows, true AS bounded FROM readings", "readings")
+@query("s07_rewrite_bounded_files", "SELECT count(*) AS n_rows, true AS bounded, true AS several FROM readings", "readings")
 def s07(fx: Fixtures) -> DataFrame:
-    files = writers.rewrite_bounded_files(fx.readings, shared_dir(fx.spark, "bounded"), 2_000)
-    return files.agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 2_000).alias("bounded"))
+    """All readings in CSV files of at most 20,000 bytes."""
+    files = writers.rewrite_bounded_files(fx.readings, shared_dir(fx.spark, "bounded"), 20_000)
+    return files.agg(F.sum("n_rows").alias("n_rows"), (F.max("n_bytes") <= 20_000).alias("bounded"), (F.count(F.lit(1)) > 1).alias("several"))
 
 
 @query("s08_geojson", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from laneflow.operators.ranking import grouped_quantiles
 from laneflow.schemas import FEATURE_KEYS
@@ -44,15 +44,36 @@ def rollup_cache(spark: SparkSession, path: str, build: Callable[[], DataFrame],
 
 
 def rewrite_bounded_files(
-    df: DataFrame, path: str, max_records: int, fmt: str = "parquet", force: bool = False
+    df: DataFrame, path: str, max_bytes: int, fmt: str = "csv", force: bool = False
 ) -> DataFrame:
-    """Rewrite a table into files of at most ``max_records`` rows; a finished rewrite is kept.  Returns rows per file."""
-    spark = df.sparkSession
+    """Rewrite a table into text files of at most ``max_bytes`` bytes each; a finished rewrite is kept.
+
+    Rows keep the order of their input partition.  Their sizes as written (``csv``
+    with a header, or ``json``) are added up along it, and a file ends where the sum
+    would pass the bound.  Two rows' worth of room is kept free for the row that
+    crosses it.  Returns file, rows and bytes.  A row that does not fit is an error.
+    """
+    spark, row = df.sparkSession, F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    lines = {"csv": F.to_csv(row), "json": F.to_json(row)}
+    if fmt not in lines:
+        raise ValueError(f"text formats only: {sorted(lines)}")
     if force or not is_complete(spark, path):
-        writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_records).format(fmt)
+        sized = df.withColumns({
+            "__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id(), "__bytes": F.octet_length(lines[fmt]) + 1,
+        })
+        head = len(",".join(df.columns).encode()) + 1 if fmt == "csv" else 0
+        longest = sized.agg(F.max("__bytes")).first()[0] or 0
+        room = max_bytes - head - longest
+        if room <= 0 and longest:
+            raise ValueError(f"rows of up to {longest} bytes do not fit files of {max_bytes}")
+        # One window per input partition, whose size the reader bounds.
+        along = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cut = sized.withColumn("__cut", F.floor((F.sum("__bytes").over(along) - 1) / F.lit(max(room, 1)))).drop("__at", "__bytes")
+        writer = cut.write.mode("overwrite").partitionBy("__part", "__cut").format(fmt)
         (writer.option("header", True) if fmt == "csv" else writer).save(path)
-    written = spark.read.format(fmt).option("header", True).load(path)
-    return written.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    written = spark.read.schema(df.schema).format(fmt).option("header", True).load(path)
+    files = written.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("n_bytes"))
+    return files.groupBy("file", "n_bytes").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def to_geojson(df: DataFrame) -> DataFrame:
