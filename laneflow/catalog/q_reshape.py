@@ -69,9 +69,7 @@ def t06(fx: Fixtures) -> DataFrame:
     metrics = fx.table("orders").groupBy(F.col("o_orderpriority").alias("model")).agg(
         F.avg("o_totalprice").alias("rmse"), F.stddev_samp("o_totalprice").alias("cv_rmse_mean")
     )
-    # Five models: the place is taken from the sorted list.
-    ranked = topk.rank_models(metrics).agg(F.collect_list(F.struct("model", "rmse", "cv_rmse_mean")).alias("m"))
-    return ranked.select(F.posexplode("m").alias("p", "m")).select("m.*", (F.col("p") + 1).alias("place"))
+    return topk.rank_models(metrics, "place")
 
 
 @query("u01_union_all", "SELECT tmc_code, hour FROM hourly WHERE speed_mean > 90 UNION ALL SELECT tmc_code, hour FROM hourly WHERE speed_mean > 80", "hourly")
