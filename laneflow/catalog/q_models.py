@@ -26,14 +26,14 @@ from laneflow.session import materialise, shared_dir
 TARGET = "tt_per_mile"
 
 
-def _sets(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+def training_and_test(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
     """Balanced train and whole test set, each written once."""
     train, test = training_sets(materialise(fx.features))
     return materialise(train), test
 
 
 def _one(fx: Fixtures, model: E.TargetModel) -> DataFrame:
-    train, test = _sets(fx)
+    train, test = training_and_test(fx)
     row = V.evaluate_regression(model, train, test, TARGET)
     names = [c.split()[0] for c in V.METRICS_SCHEMA.split(", ")]
     return fx.spark.createDataFrame([tuple(row[n] for n in names)], V.METRICS_SCHEMA).select("model", "rmse", "mae", "r2")
@@ -62,7 +62,7 @@ def m06(fx: Fixtures) -> DataFrame:
 @query("m07_fit_linear")
 def m07(fx: Fixtures) -> DataFrame:
     """All nine linear models with hold-out errors."""
-    train, test = _sets(fx)
+    train, test = training_and_test(fx)
     return V.evaluate_grid(E.model_grid("lr", n_rows=train.count()), train, test, TARGET, FEATURE_KEYS).drop("fit_time")
 
 
@@ -104,7 +104,7 @@ def m12(fx: Fixtures) -> DataFrame:
 
 @query("m13_cross_validate")
 def m13(fx: Fixtures) -> DataFrame:
-    train, _ = _sets(fx)
+    train, _ = training_and_test(fx)
     model = E.log1p_target("lr_full", feature_sets()["full"], E.linear_regression(), scale=True)
     mean, std = V.cross_validate(model, train, TARGET, FEATURE_KEYS, 5)
     return fx.spark.createDataFrame([("lr_full", mean, std)], "model string, cv_rmse_mean double, cv_rmse_std double")
@@ -113,7 +113,7 @@ def m13(fx: Fixtures) -> DataFrame:
 @query("m14_tune")
 def m14(fx: Fixtures) -> DataFrame:
     """Grid search over a small forest grid, and two random points of a boosted one."""
-    train, _ = _sets(fx)
+    train, _ = training_and_test(fx)
     features = feature_sets()["cyc_lags"]
     forest = V.tune(
         lambda **p: E.log1p_target("rf", features, E.random_forest(**p)), {"maxDepth": [3, 5]}, train, TARGET, FEATURE_KEYS, 3
@@ -133,7 +133,7 @@ def m15(fx: Fixtures) -> DataFrame:
 
 @query("m16_feature_importance")
 def m16(fx: Fixtures) -> DataFrame:
-    train, _ = _sets(fx)
+    train, _ = training_and_test(fx)
     forest = E.log1p_target("rf_full", feature_sets()["full"], E.random_forest()).fit(train, TARGET)
     linear = E.log1p_target("lr_full", feature_sets()["full"], E.linear_regression(), scale=True).fit(train, TARGET)
     return V.feature_importance(fx.spark, forest).unionByName(V.feature_importance(fx.spark, linear))
@@ -182,7 +182,7 @@ def m19(fx: Fixtures) -> DataFrame:
 @query("m20_score_models_long")
 def m20(fx: Fixtures) -> DataFrame:
     """All segments of the feature table, and one that it lacks."""
-    train, _ = _sets(fx)
+    train, _ = training_and_test(fx)
     models = {
         name: E.log1p_target(name, feature_sets()[name[3:]], E.linear_regression(), scale=True).fit(train, TARGET) for name in ("lr_cyc", "lr_full")
     }
