@@ -8,6 +8,7 @@ gathered into the texts again.  No Python step runs per word.
 
 from __future__ import annotations
 
+import os
 from array import array
 from functools import cache
 
@@ -105,6 +106,8 @@ class UnitEncoder:
 
 @cache
 def _encoder(tokenizer: str, special: bool) -> UnitEncoder:
+    # Spark has a worker per core; threads inside of it would only hold more memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return UnitEncoder(tokenizer, special)
 
 
