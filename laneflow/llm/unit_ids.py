@@ -21,9 +21,9 @@ from laneflow.llm.alignment import unit_starts
 from laneflow.llm.common import utf8
 
 # Bytes of units and ids that a worker remembers, and the longest unit that it does.
-REMEMBERED_BYTES, LONGEST = 64 << 20, 64
+REMEMBERED_BYTES, LONGEST = 128 << 20, 64
 # Bytes of units encoded at a time.
-SLICE = 1 << 15
+SLICE = 1 << 16
 
 
 _LETTER = np.zeros(256, bool)
