@@ -114,21 +114,26 @@ def u04(fx: Fixtures) -> DataFrame:
     return R.unpivot_metrics(metrics.withColumnRenamed("rmse", "mean_"), ["cv_rmse", "mean_"]).replace("mean_", "rmse", "dataset")
 
 
+def _with_absent(fx: Fixtures) -> DataFrame:
+    """All segments, and one that the table lacks, in order."""
+    absent = fx.spark.createDataFrame([("S999999",)], "tmc_code string")
+    return R.column_places(fx.codes.select("tmc_code").unionByName(absent), "tmc_code")
+
+
 @query("u05_pivot_long_to_wide", """
     SELECT t.time_bin, string_agg(coalesce(CAST(CAST(round(b.speed * 1000) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY c.tmc_code) AS cells
     FROM (SELECT DISTINCT time_bin FROM binned) t CROSS JOIN (SELECT DISTINCT tmc_code FROM binned UNION ALL SELECT 'S999999') c
     LEFT JOIN binned b ON b.time_bin = t.time_bin AND b.tmc_code = c.tmc_code GROUP BY 1""", "binned")
 def u05(fx: Fixtures) -> DataFrame:
     """All segments, and one that the table lacks, as columns; a row's cells are shown as one text."""
-    order = [*fx.codes, "S999999"]
-    wide = R.pivot_long_to_wide(fx.binned, "time_bin", "tmc_code", "speed", order)
-    shown = [F.coalesce(F.round(F.col(c) * 1000).cast("bigint").cast("string"), F.lit("-")) for c in order]
-    return wide.select("time_bin", F.array_join(F.array(*shown), ",").alias("cells"))
+    wide = R.pivot_long_to_wide(fx.binned, "time_bin", "tmc_code", "speed", _with_absent(fx))
+    shown = F.transform(R.CELLS, lambda v: F.round(v * 1000).cast("bigint").cast("string"))
+    return wide.select("time_bin", F.array_join(shown, ",", "-").alias("cells"))
 
 
 @query("u05_stack", "SELECT time_bin, tmc_code, speed FROM binned", "binned", "speed")
 def u05_stack(fx: Fixtures) -> DataFrame:
-    order = [*fx.codes, "S999999"]
+    order = _with_absent(fx)
     wide = R.pivot_long_to_wide(fx.binned, "time_bin", "tmc_code", "speed", order)
     return R.stack_wide_to_long(wide, "time_bin", order, "tmc_code", "speed")
 

@@ -34,3 +34,28 @@ def test_cells_of_the_feature_table_are_neither_sorted_nor_shuffled(spark, binne
     assert "Window" not in above and "Exchange hashpartitioning" not in above
     small = dense_features(binned, events, segments, block_rows=7)
     assert table.count() == small.count() and table.exceptAll(small).isEmpty() and small.exceptAll(table).isEmpty()
+
+
+def test_wide_tables_of_many_columns(spark):
+    """Cells in one array by a table of names: the same as named columns, with a plan that doesn't grow with them."""
+    from laneflow.operators import reshape
+
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"c{rng.randrange(3000):04d}", start + dt.timedelta(minutes=rng.randrange(9000)), rng.choice([None, 1.0, 2.5, 40.0])) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "tmc_code string, measurement_tstamp timestamp, speed double").persist()
+    places = reshape.column_places(df, "tmc_code")
+    names = [r[0] for r in places.orderBy(places.columns[1]).collect()]
+    assert names == sorted({r[0] for r in rows}) and [r[1] for r in places.orderBy("tmc_code").collect()] == list(range(len(names)))
+    wide = reshape.resample_matrix(reshape.time_segment_matrix(df, places, interval="1h"), places, "1d")
+    assert {len(r["cells"]) for r in wide.collect()} == {len(names)} and len(plan(wide)) < 40_000
+    few = names[::300]
+    kept = df.where(F.col("tmc_code").isin(few))
+    some = reshape.column_places(kept, "tmc_code")
+    for agg in ("mean", "median"):
+        arrays = reshape.resample_matrix(reshape.time_segment_matrix(kept, some, interval="2h", agg=agg), some, "1d")
+        columns = reshape.resample_matrix(reshape.time_segment_matrix(kept, few, interval="2h", agg=agg), few, "1d")
+        assert {r["time_bin"]: r["cells"] for r in arrays.collect()} == {r["time_bin"]: [r[c] for c in few] for r in columns.collect()}
+    long = reshape.stack_wide_to_long(reshape.pivot_long_to_wide(kept, "measurement_tstamp", "tmc_code", "speed", some), "measurement_tstamp", some, "tmc_code", "speed")
+    assert long.exceptAll(kept.where("speed is not null").select("measurement_tstamp", "tmc_code", "speed").distinct()).isEmpty()
+    df.unpersist()
