@@ -59,3 +59,25 @@ def test_wide_tables_of_many_columns(spark):
     long = reshape.stack_wide_to_long(reshape.pivot_long_to_wide(kept, "measurement_tstamp", "tmc_code", "speed", some), "measurement_tstamp", some, "tmc_code", "speed")
     assert long.exceptAll(kept.where("speed is not null").select("measurement_tstamp", "tmc_code", "speed").distinct()).isEmpty()
     df.unpersist()
+
+
+def test_quantiles_of_large_and_small_groups(spark, monkeypatch):
+    """Selected and sorted groups have the same exact quantiles; the rows of a large group are not shuffled as a whole."""
+    from laneflow.operators import ranking
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, -0.5, float(rng.randrange(40)), rng.random()])) for _ in range(4000)] + [("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").persist()
+    shares = {"lo": 0.01, "mid": 0.5, "hi": 0.99}
+    want = {r["k"]: tuple(r["q"]) for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", list(shares.values())).alias("q")).collect()}
+    for limit in (1, 1000, 100_000):
+        monkeypatch.setattr(ranking, "GROUP_ROWS", limit)
+        found = {r["k"]: tuple(r[n] for n in shares) for r in ranking.grouped_quantiles(df, ["k"], "v", shares).collect()}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+    whole = ranking.grouped_quantiles(df, [], "v", shares).first()
+    assert tuple(whole) == pytest.approx(tuple(df.agg(F.percentile("v", list(shares.values()))).first()[0]))
+    # One expression per value, whatever the number of slices.
+    text = df.select(F.array(F.lit(1.0), F.lit(3.0)).alias("__edges"), "v").select("v", ranking._slice("v").alias("s"))
+    assert all(r["s"] == (r["v"] > 1) + (r["v"] > 3) for r in text.where("v is not null").collect())
+    assert len(plan(text)) < 5000
+    df.unpersist()
