@@ -81,3 +81,16 @@ def test_quantiles_of_large_and_small_groups(spark, monkeypatch):
     assert all(r["s"] == (r["v"] > 1) + (r["v"] > 3) for r in text.where("v is not null").collect())
     assert len(plan(text)) < 5000
     df.unpersist()
+
+
+def test_cells_of_the_grid_meet_no_table_by_segment(spark, binned):
+    """Cells are written out where readings lie sorted, and gaps are filled from rows beside them: no join of all cells."""
+    dense = grid.densify_grid(binned)
+    for df in (dense, grid.interpolate_linear(dense, grid.MEASURES, block_rows=7)):
+        assert "Join [tmc_code" not in plan(df)
+    doubled = grid.densify_grid(binned.unionByName(binned.limit(1)))
+    keys, times = binned.select("tmc_code").distinct().count(), binned.select("time_bin").distinct().count()
+    assert dense.count() == keys * times and doubled.count() == keys * times + 1
+    assert dense.where("speed is not null").select(*binned.columns).exceptAll(binned).isEmpty()
+    one, many = (grid.interpolate_linear(dense, grid.MEASURES, block_rows=n) for n in (7, 4096))
+    assert one.exceptAll(many).isEmpty() and one.count() == keys * times and one.where("speed is null").isEmpty()
