@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from cases import PROSE, SF, documents, needs_tables
@@ -113,3 +115,31 @@ def test_query(spark):
         r = rows[number]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(data), sum(gone), len(spans(gone)))
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("kind", [suffixes._CONTEXT, suffixes._PLACE, suffixes._ROW, suffixes._RUN])
+def test_records_come_back_from_compression(kind):
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 500):
+        records = np.frombuffer(draw.bytes(n * kind.itemsize), kind)
+        assert (suffixes._unpress(suffixes._press(records), kind) == records).all()
+    numbers = draw.integers(0, 1 << 48, 300).astype(np.uint64)
+    assert (suffixes._join48(suffixes._split48(numbers)) == numbers).all()
+
+
+def test_answers_do_not_grow_with_buckets():
+    """A bucket answers once per block that asked, not once per row of it; every row learns its own anchors."""
+    rows, keys = 200, np.arange(200, dtype=np.int64)
+    anchor = np.arange(rows, dtype=np.uint64) << np.uint64(20)
+
+    def asked(block, first):
+        return {"bucket": 0, "block": block, "hashes": suffixes._split48(anchor), "owners": suffixes._planes(np.arange(rows).astype("<u2")),
+                "keys": suffixes._planes(keys + first)}
+
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary())])
+    met = suffixes._meet(pa.Table.from_pylist([asked(5, 0), asked(9, 1000)], schema))
+    assert met.num_rows == 2
+    for block, first in ((5, 0), (9, 1000)):
+        own = met.filter(pa.compute.equal(met.column("block"), block))
+        out = suffixes._hand_out(own).to_pylist()
+        assert [(r["key"], suffixes._join48(r["hashes"]).tolist()) for r in out] == [(int(k) + first, [int(a)]) for k, a in zip(keys, anchor)]
