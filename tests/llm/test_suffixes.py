@@ -143,3 +143,43 @@ def test_answers_do_not_grow_with_buckets():
         own = met.filter(pa.compute.equal(met.column("block"), block))
         out = suffixes._hand_out(own).to_pylist()
         assert [(r["key"], suffixes._join48(r["hashes"]).tolist()) for r in out] == [(int(k) + first, [int(a)]) for k, a in zip(keys, anchor)]
+
+
+def test_suffix_arrays_hold_only_contexts_that_may_share_windows(monkeypatch):
+    """Contexts that differ only beyond a window's reach are one; the smallest ids are those of comparing everything."""
+    draw, side = random.Random(4), suffixes.SIDE
+    made = np.zeros(400, suffixes._CONTEXT)
+    base = bytes(draw.randrange(97, 123) for _ in range(2 * side))
+    for i in range(len(made)):
+        text = bytearray(base)
+        for _ in range(draw.randint(0, 2)):
+            text[draw.randrange(2 * side)] = draw.randrange(97, 100)
+        lefts, rights = draw.choice([side, side, 12]), draw.choice([side, side, 20])
+        made["left"][i], made["right"][i] = np.frombuffer(text[:side], "u1"), np.frombuffer(text[side:], "u1")
+        made["left"][i][: side - lefts], made["right"][i][rights:] = 0, 0
+        made["anchor"][i], made["id"][i], made["lefts"][i], made["rights"][i] = draw.randint(1, 2), draw.randrange(10**6), lefts, rights
+    seen, build = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text: seen.append(len(text)) or build(text))
+    least = np.repeat(made["id"][:, None], side + 1, axis=1)
+    for low, high in suffixes._STEPS:
+        suffixes._equal_windows(made, least, low, high)
+    first = {}
+    windows = [
+        [(c["anchor"], o, c["left"][side - o :].tobytes(), c["right"][: side - o].tobytes()) if c["lefts"] >= o and c["rights"] >= side - o else None
+         for o in range(side + 1)] for c in made
+    ]
+    for of, c in zip(windows, made, strict=True):
+        for w in of:
+            first[w] = min(first.get(w, 10**9), c["id"])
+    for i, of in enumerate(windows):
+        assert all(w is None or least[i, o] == first[w] for o, w in enumerate(of))
+    # In two halves, each context in a text of its own, there were more.
+    assert 0 < sum(seen) < 2 * 400 * (side + side // 2)
+    shifted = made[:2].copy()
+    shifted["anchor"], shifted["lefts"], shifted["rights"] = 1, side, side
+    shifted["left"], shifted["right"] = 65, 66
+    shifted["left"][1][0] = 67  # reached only by the window that is all left
+    seen.clear()
+    for low, high in suffixes._STEPS[:-1]:
+        suffixes._equal_windows(shifted, np.repeat(shifted["id"][:, None], side + 1, axis=1), low, high)
+    assert not seen
