@@ -27,7 +27,7 @@ from laneflow.llm.common import materialise
 
 WINDOW = 2048
 # Limits of one Arrow batch of texts.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 # Pieces per lane, on average.
 LANE_ROWS = 200_000
 

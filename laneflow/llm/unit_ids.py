@@ -18,7 +18,7 @@ from pyspark.sql import Column, functions as F
 from tokenizers import Tokenizer
 
 from laneflow.llm.alignment import unit_starts
-from laneflow.llm.common import utf8
+from laneflow.llm.common import release, utf8
 
 # Bytes of units and ids that a worker remembers, and the longest unit that it does.
 REMEMBERED_BYTES, LONGEST = 128 << 20, 64
@@ -120,7 +120,9 @@ def encode(text: str | Column, tokenizer: str, special: bool = True) -> Column:
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        return _encoder(tokenizer, special)(texts)
+        ids = _encoder(tokenizer, special)(texts)
+        release()
+        return ids
 
     # Else Spark may copy the call into every expression that uses the ids.
     return run.asNondeterministic()(utf8(text))

@@ -134,3 +134,20 @@ def test_query(spark):
     tokens = sum(map(len, ids.values()))
     assert sum(r["length"] for r in rows) == tokens
     assert tokens / (2048 * len({r["sequence_id"] for r in rows})) > 0.85
+
+
+def test_freed_memory_goes_back():
+    """A worker that has encoded lives on beside those of the next stage."""
+    import numpy as np
+    import psutil
+
+    from laneflow.llm.common import release
+
+    held = lambda: psutil.Process().memory_info().rss
+    release()
+    before, kept = held(), []
+    small = [np.zeros(100_000, np.uint8) + 1 for _ in range(2000)]
+    kept.append(np.ones(100_000, np.uint8))
+    del small
+    release()
+    assert held() - before < 50 << 20
