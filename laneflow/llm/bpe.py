@@ -17,18 +17,24 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-# Distinct words in a worker's newer memory.  When it is full it becomes the older one, from which words
-# come back on use, and the former older one is forgotten.  This costs time only.
-REMEMBERED = 500_000
+from laneflow.llm.common import forgettable, release
+
+# Distinct words, and bytes of them and their ids, in a worker's newer memory.  When it is full it becomes the older
+# one, from which words come back on use, and the former older one is forgotten.  Words of more characters than
+# LONGEST are not remembered.  This costs time only.
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 500_000, 40 << 20, 64
 # Tokens expanded at a time while decoding.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
+# Bytes that a dictionary takes per entry, about.
+_ENTRY = 100
 # A space before anything but these is not taken for a border.  Fixed value.
 _VISIBLE = "!-~À-ɏ"
 _BORDER = re.compile(f" (?=[{_VISIBLE}])")
@@ -94,15 +100,20 @@ class _Words(dict):
     def __init__(self, tokenizer: Tokenizer, prefix: str, plain: _Words | None = None):
         super().__init__()
         self.tokenizer, self.prefix, self.plain, self.older = tokenizer, prefix, self if plain is None else plain, {}
+        self.held = 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
             ids = self._made(word)
-        if len(self) >= REMEMBERED:
+        if len(word) > LONGEST:
+            return ids
+        if len(self) >= REMEMBERED or self.held >= REMEMBERED_BYTES:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         self[word] = ids
+        self.held += getsizeof(word) + getsizeof(ids) + _ENTRY
         return ids
 
     def _made(self, word: str) -> bytes:
@@ -134,7 +145,7 @@ class Encoder:
         return (self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, later))
 
 
-@cache
+@forgettable
 def _encoder(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
@@ -160,6 +171,12 @@ def encode(text: Column, tokenizer: str) -> Column:
 @cache
 def _byte_table(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     """All tokens' bytes in a row by id, and where each begins (and the last one ends)."""
+    table = _read_bytes(tokenizer)
+    release()  # what reading the vocabulary took
+    return table
+
+
+def _read_bytes(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     back = {char: byte for byte, char in byte_alphabet().items()}
     spec = json.loads(tokenizer)
     special = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}

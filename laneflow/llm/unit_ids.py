@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import Column, functions as F
 from tokenizers import Tokenizer
 
 from laneflow.llm.alignment import unit_starts
-from laneflow.llm.common import utf8
+from laneflow.llm.common import forgettable, utf8
 
 # Bytes of units and ids that a worker remembers, and the longest unit that it does.
 REMEMBERED_BYTES, LONGEST = 128 << 20, 64
@@ -104,7 +103,7 @@ class UnitEncoder:
         return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.astype(np.int64)), joined or pa.py_buffer(b"")]).cast(pa.binary())
 
 
-@cache
+@forgettable
 def _encoder(tokenizer: str, special: bool) -> UnitEncoder:
     # Spark has a worker per core; threads inside of it would only hold more memory.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

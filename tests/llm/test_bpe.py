@@ -10,7 +10,7 @@ import tiktoken
 from cases import SF, documents, needs_tables
 from pyspark.sql import functions as F
 
-from laneflow.llm import bpe, queries
+from laneflow.llm import bpe, common, queries, unit_ids
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -49,6 +49,24 @@ def test_forgetting_changes_nothing(reference, tokenizer, monkeypatch):
         assert encoder(text) == np.array(reference.encode_ordinary(text), "<u4").tobytes()
 
 
+def test_memory_is_bounded_in_bytes(reference, tokenizer, monkeypatch):
+    """Texts without spaces are one word each, and words may be many."""
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 50_000)
+    encoder = bpe.Encoder(tokenizer)
+    for i in range(1500):
+        text = f"word{i} other{i} " + chr(0x4E00 + i) * 300
+        assert encoder(text) == np.array(reference.encode_ordinary(text), "<u4").tobytes()
+    held = [len(k) + len(v) for words in (encoder.first, encoder.later) for part in (words, words.older) for k, v in part.items()]
+    assert sum(held) < 4 * 50_000 and max(held) < 1000
+
+
+def test_release_forgets_what_encoders_remember(tokenizer):
+    before = bpe._encoder(tokenizer), unit_ids._encoder(tokenizer, True)
+    assert bpe._encoder(tokenizer) is before[0]
+    common.release()
+    assert bpe._encoder(tokenizer) is not before[0] and unit_ids._encoder(tokenizer, True) is not before[1]
+
+
 def test_split_characters_and_offsets(tokenizer):
     text = "a😀日b é"
     ids = bpe.Encoder(tokenizer)(text)
