@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from laneflow.llm.common import fresh, small_batches
+from laneflow.llm.common import fresh, release, small_batches
 
 UNDETERMINED = "und"
 # Hash buckets of n-grams, n-gram lengths in bytes, and bytes scored at a time.
@@ -152,6 +152,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
     rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for value, of in zip(batch.column(0), batch.column(1), strict=True):
