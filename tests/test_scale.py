@@ -94,3 +94,19 @@ def test_cells_of_the_grid_meet_no_table_by_segment(spark, binned):
     assert dense.where("speed is not null").select(*binned.columns).exceptAll(binned).isEmpty()
     one, many = (grid.interpolate_linear(dense, grid.MEASURES, block_rows=n) for n in (7, 4096))
     assert one.exceptAll(many).isEmpty() and one.count() == keys * times and one.where("speed is null").isEmpty()
+
+
+def test_the_calendar_is_worked_out_per_bin_and_long_stages_are_compiled(spark, binned, tmp_path):
+    """No sine per cell; a stage too long for the JVM's compiler is not run as one method."""
+    from laneflow.catalog.fixtures import Fixtures
+
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    Fixtures(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    segments = spark.sql("select tmc, 1.5d miles, map('onramp', 1) tmc_tags from values ('s0'), ('s1') as t(tmc)")
+    events = spark.sql("select 's0' near_tmc, 'cat_planned' cat_event_type, timestamp'2024-01-01 05:30:00' event_start, timestamp'2024-01-02 04:00:00' event_end")
+    table = dense_features(binned, events, segments)
+    above = plan(table).split("Generate explode(sequence(")[0]
+    assert "hour_sin" in above and "SIN(" not in above
+    bad = table.where("abs(hour_of_week_sin - sin(2 * pi() * (weekday(time_bin) * 24 + hour(time_bin)) / 168)) > 1e-12 or is_weekend <> int(weekday(time_bin) > 4)")
+    assert table.count() > 0 and bad.isEmpty()
