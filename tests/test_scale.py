@@ -110,3 +110,31 @@ def test_the_calendar_is_worked_out_per_bin_and_long_stages_are_compiled(spark,
     assert "hour_sin" in above and "SIN(" not in above
     bad = table.where("abs(hour_of_week_sin - sin(2 * pi() * (weekday(time_bin) * 24 + hour(time_bin)) / 168)) > 1e-12 or is_weekend <> int(weekday(time_bin) > 4)")
     assert table.count() > 0 and bad.isEmpty()
+
+
+def test_jobs_over_the_feature_table_do_not_write_it_again(spark, monkeypatch, tmp_path):
+    """The job that writes the table needs no copy of its own; training reads the written one."""
+    from laneflow.catalog import QUERIES, fixtures, q_models
+
+    events = spark.range(400).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id * 977) AS ts", "id % 5 AS user_id",
+        "element_at(array('error', 'click', 'view', 'purchase'), int(id % 4) + 1) AS event_type", "double(id % 61) AS value",
+        """concat('{"k": ', id % 9, '}') AS props""",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    places = spark.range(10).selectExpr("id AS vec_id", "transform(sequence(1, 8), i -> float((i * 7 + id) % 5 / 5)) AS embedding", "int(id % 4) AS label")
+    places.write.parquet(f"{tmp_path}/embeddings.parquet")
+    wide = []
+
+    def counted(df, label="table"):
+        wide.append(label) if {"tt_per_mile", "hour_sin", "lag1"} <= set(df.columns) else None
+        return written(df, label)
+
+    written = fixtures.materialise
+    monkeypatch.setattr(fixtures, "materialise", counted)
+    monkeypatch.setattr(q_models, "materialise", counted)
+    assert QUERIES["s05_write_feature_table"](spark, str(tmp_path)).first()["n_columns"] == 28
+    assert wide == []
+    # The feature table, and the balanced train set.
+    q_models.training_and_test(fixtures.Fixtures(spark, str(tmp_path)))
+    assert wide == ["features", "table"]
