@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def neighbour_propagation(
@@ -51,15 +51,26 @@ def tensor_rows(
     )
     target_bad = (F.col(target).isNull() | F.isnan(F.col(target).cast("double"))).cast("int")
     per_bin = placed.withColumns(clean).withColumns({"__bad": bad, "__tbad": target_bad}).groupBy(time_col).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("position"), row))).alias("rows"),
+        F.array_sort(F.collect_list(row)).alias("rows"),
         F.sum("__bad").alias("__bad"), F.sum("__tbad").alias("__tbad"), F.count(F.lit(1)).alias("__n"),
     )
-    slots = F.sequence(F.lit(0), (F.col("__size") - 1).cast("int"))
     blank = F.array(*[F.lit(0.0) for _ in features])
     absent = F.col("__size") - F.col("__n")
-    return per_bin.withColumn("__size", size).select(
-        time_col,
-        F.transform(slots, lambda i: F.coalesce(F.try_element_at(F.col("rows"), i).x, blank)).alias("x"),
-        F.transform(slots, lambda i: F.coalesce(F.try_element_at(F.col("rows"), i).y, F.lit(0.0))).alias("y"),
+    inside = F.filter("rows", lambda r: r.position.isNull() | ((r.position >= 0) & (r.position < F.col("__size"))))
+    sized = per_bin.withColumn("__size", size).withColumn("rows", inside).withColumn("__at", F.transform("rows", lambda r: r.position.cast("int")))
+
+    def filled(field: str, empty: Column) -> Column:
+        """The rows in order, each behind as many blanks as positions are missing before it: one step per position."""
+
+        def stretch(r: Column, i: Column) -> Column:
+            here, gap = F.get("__at", i), F.get("__at", i) - F.coalesce(F.get("__at", i - 1), F.lit(-1)) - 1
+            bad = F.raise_error(F.lit("a bin has two rows at one position, or one without a position")).cast("int")
+            return F.concat(F.array_repeat(empty, F.when(here.isNull() | (gap < 0), bad).otherwise(gap)), F.array(r[field]))
+
+        last = F.coalesce(F.get("__at", F.size("__at") - 1), F.lit(-1))
+        return F.concat(F.flatten(F.transform("rows", stretch)), F.array_repeat(empty, (F.col("__size") - 1 - last).cast("int")))
+
+    return sized.select(
+        time_col, filled("x", blank).alias("x"), filled("y", F.lit(0.0)).alias("y"),
         (F.col("__bad") + absent * len(features)).alias("feature_nulls"), (F.col("__tbad") + absent).alias("target_nulls"),
     )

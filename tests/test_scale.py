@@ -138,3 +138,20 @@ def test_jobs_over_the_feature_table_do_not_write_it_again(spark, monkeypatch, t
     # The feature table, and the balanced train set.
     q_models.training_and_test(fixtures.Fixtures(spark, str(tmp_path)))
     assert wide == ["features", "table"]
+
+
+def test_tensors_are_filled_in_one_walk(spark):
+    """No look-up per position: gaps at both ends and between rows, bad values, positions outside the list."""
+    from laneflow.operators.graph import tensor_rows
+
+    order = spark.sql("select 't' || id tmc, int(id) position from range(6)").unionByName(spark.sql("select 'far' tmc, 9 position")).where("tmc <> 't5'")
+    df = spark.sql("""select * from values (1, 't1', 2d, 3d), (1, 't4', double('nan'), null), (2, 't0', 7d, 8d), (2, 'far', 1d, 1d), (3, 'far', 4d, 5d)
+                      as t(time_bin, tmc_code, a, y)""")
+    table = tensor_rows(df, order, ["a"], "y")
+    assert "map_from_entries" not in plan(table)
+    got = {r["time_bin"]: (r["x"], r["y"], r["feature_nulls"], r["target_nulls"]) for r in table.collect()}
+    assert got[1] == ([[0.0], [2.0], [0.0], [0.0], [0.0], [0.0]], [0.0, 3.0, 0.0, 0.0, 0.0, 0.0], 5, 5)
+    assert got[2] == ([[7.0]] + [[0.0]] * 5, [8.0] + [0.0] * 5, 4, 4)
+    assert got[3] == ([[0.0]] * 6, [0.0] * 6, 5, 5)
+    with pytest.raises(Exception, match="two rows at one position"):
+        tensor_rows(df.unionAll(df), order, ["a"], "y").collect()
